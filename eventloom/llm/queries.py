@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,11 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op1_bpe_codec": op1_bpe_codec}
+def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.fresh(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.summary(spark, path)
+
+
+QUERIES = {"op2_token_orc": op2_token_orc, "op1_bpe_codec": op1_bpe_codec}
 ORACLE_SQL: dict[str, str] = {}
