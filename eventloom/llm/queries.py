@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, shared, tokenfile
+from . import bpe, leaks, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +22,9 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.summary(spark, path)
 
 
-QUERIES = {"op2_token_orc": op2_token_orc, "op1_bpe_codec": op1_bpe_codec}
+def op8_suffix_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op8_suffix_leaks)}
 ORACLE_SQL: dict[str, str] = {}
