@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, leaks, shared, tokenfile
+from . import bpe, langid, leaks, neighbours, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +27,13 @@ def op8_suffix_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op8_suffix_leaks)}
+def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op10_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_prediction(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op7_block_neighbours, op8_suffix_leaks, op10_hd_language)}
 ORACLE_SQL: dict[str, str] = {}
