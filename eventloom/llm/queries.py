@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, leaks, neighbours, shared, tokenfile
+from . import bpe, jaccard, langid, leaks, neighbours, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op8_suffix_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -35,5 +39,5 @@ def op10_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_prediction(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op7_block_neighbours, op8_suffix_leaks, op10_hd_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op5_jaccard_classes, op7_block_neighbours, op8_suffix_leaks, op10_hd_language)}
 ORACLE_SQL: dict[str, str] = {}
