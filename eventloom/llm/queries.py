@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, leaks, neighbours, shared, tokenfile
+from . import bpe, jaccard, langid, leaks, neighbours, repeats, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +35,13 @@ def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op9_fm_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"), n=13, digest_only=True)
+
+
 def op10_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_prediction(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op5_jaccard_classes, op7_block_neighbours, op8_suffix_leaks, op10_hd_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op5_jaccard_classes, op7_block_neighbours, op8_suffix_leaks, op9_fm_repeats, op10_hd_language)}
 ORACLE_SQL: dict[str, str] = {}
