@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, leaks, neighbours, repeats, shared, tokenfile
+from . import bpe, jaccard, langid, leaks, neighbours, pii, repeats, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -43,5 +47,5 @@ def op10_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_prediction(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op5_jaccard_classes, op7_block_neighbours, op8_suffix_leaks, op9_fm_repeats, op10_hd_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op5_jaccard_classes, op6_context_pii, op7_block_neighbours, op8_suffix_leaks, op9_fm_repeats, op10_hd_language)}
 ORACLE_SQL: dict[str, str] = {}
