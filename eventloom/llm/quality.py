@@ -34,6 +34,7 @@ SAMPLE = 12_000
 BITS = 18
 EPOCHS = 10
 LEAST_Z = 4.0
+MOST_STRENGTH = 1e6
 HEADS = ("quality", "toxic")
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _SHAPES = {"upper": range(65, 91), "digit": range(48, 58), "mark": b"!?", "bar": b"|\\/<>{}[]", "line": b"\n"}
@@ -144,16 +145,16 @@ def _score(model):
     return run
 
 
-def _strength(sites: DataFrame, mean: Column, n: Column, s: Column, rate: Column) -> float:
+def _strength(sites: DataFrame, s: Column, rate: Column) -> float:
     """Prior strength: how many documents the prior is worth, from the variance between sites beyond chance."""
-    spread = F.sum(n * (s / n - rate) ** 2)
-    total, squares, count = F.sum(n), F.sum(n * n), F.count(F.lit(1))
-    row = sites.select(n.alias("n"), s.alias("s"), rate.alias("rate"), mean.alias("mean")).agg(spread, total, squares, count, F.sum(n * rate * (1 - rate)) / total).first()
+    n, share, r = F.col("n"), F.col("s") / F.col("n"), F.col("rate")
+    row = sites.select(F.col("n"), s.alias("s"), rate.alias("rate")).agg(
+        F.sum(n * (share - r) ** 2), F.sum(n).cast("double"), F.sum(n * n).cast("double"), F.count(F.lit(1)), F.sum(n * r * (1 - r)) / F.sum(n)
+    ).first()
     if not row[1] or row[3] < 2 or not row[4]:
-        return 1e6
-    chance = row[4] * (row[3] - 1)
-    between = max(0.0, (row[0] - chance) / max(row[1] - row[2] / row[1], 1e-9))
-    return min(1e6, row[4] / between - 1) if 0 < between < row[4] else (1e6 if between == 0 else 1.0)
+        return MOST_STRENGTH
+    between = (row[0] - row[4] * (row[3] - 1)) / max(row[1] - row[2] / row[1], 1e-9)
+    return MOST_STRENGTH if between <= 0 else min(MOST_STRENGTH, max(1.0, row[4] / between - 1))
 
 
 def _logit(p: Column) -> Column:
@@ -181,11 +182,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     rates = {h: min(max(total[i + 1] / total[0], 1e-6), 1 - 1e-6) for i, h in enumerate(HEADS)}
     n = F.col("n")
     for h in HEADS:
-        strength = _strength(hosts, F.lit(rates[h]), n, F.col(f"s_{h}"), F.lit(rates[h]))
+        strength = _strength(hosts, F.col(f"s_{h}"), F.lit(rates[h]))
         hosts = hosts.withColumn(f"host_{h}", (F.col(f"s_{h}") + strength * rates[h]) / (n + strength))
     sites = paths.join(small(hosts.select("host", *[f"host_{h}" for h in HEADS])), "host")
     for h in HEADS:
-        strength = _strength(sites, F.col(f"host_{h}"), n, F.col(f"s_{h}"), F.col(f"host_{h}"))
+        strength = _strength(sites, F.col(f"s_{h}"), F.col(f"host_{h}"))
         sites = sites.withColumn(f"k_{h}", F.lit(strength))
     out = rows.join(small(sites), ["host", "path"])
     found = {}
