@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, leaks, neighbours, pii, quality, repeats, shared, tokenfile
+from . import bpe, jaccard, langid, leaks, neighbours, pii, pll, quality, repeats, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pll.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -51,5 +55,5 @@ def op10_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_prediction(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op3_site_quality, op5_jaccard_classes, op6_context_pii, op7_block_neighbours, op8_suffix_leaks, op9_fm_repeats, op10_hd_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_orc, op3_site_quality, op4_pseudo_likelihood, op5_jaccard_classes, op6_context_pii, op7_block_neighbours, op8_suffix_leaks, op9_fm_repeats, op10_hd_language)}
 ORACLE_SQL: dict[str, str] = {}
