@@ -155,8 +155,8 @@ def held_out_prediction(docs: DataFrame, id_col: str = "doc_id", held: int = 2)
     return predict(marked, model, carried=[id_col, "held_out"])
 
 
-def accepted(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """Documents in one of the learned languages: not ``und``, and at least a weak resemblance to a prototype."""
+def accepted(docs: DataFrame, least: float = 1 / DIM**0.5) -> DataFrame:
+    """Documents in a learned language: not ``und``, and nearer to a prototype than random vectors are to each other."""
     model = train(docs)
     found = predict(docs, model)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(docs.columns)
