@@ -1,0 +1 @@
+"""Eventloom: search, statistics and streaming ingest for typed, sparse events on Spark."""
