@@ -13,10 +13,11 @@ Two sets link when ``den * |A & B| >= num * |A | B|``. A set's cost decides its
   are left out of the blocks where the rest suffices (:func:`entries`).
 
 Candidates of the lists are never enumerated pairwise. In each list all are held against one pivot; what links is
-united. While lists still hold several components, further pivots follow in other random orders, and when few pairs
-are left these are held against each other, whatever their number. Candidates are checked on the whole sets, after a
-bound from the element counts in 64 buckets. So no link between different texts is lost, and the number of rows stays
-near the number of list entries.
+united. While that shrinks the lists with several components, further pivots follow in other random orders; then the
+pairs across components are held against each other, whatever their number, if their parity sketches (256 bits that
+bound the difference of two sets from below) allow a link. Candidates are checked on the whole sets, after a bound from
+the element counts in 64 buckets. So no link between different texts is lost, and the rows stay near the number of list
+entries.
 
 Within a task only the first of equal sets makes entries; equal sets are united by a grouped minimum.
 
@@ -42,8 +43,9 @@ from .components import components
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 BUCKETS = 64
-#: Elements in at least this share of a task's documents (and in 16) may be left out of the blocks; any choice is right.
-FREQUENT_SHARE = 0.004
+#: Elements in at least this share of a task's documents (and in 12) may be left out of the blocks; any choice is right.
+FREQUENT_SHARE = 0.0005
+LEAST_FREQUENT = 12
 MAX_FREQUENT = 1_000_000
 #: Id sets of up to this many rows (8 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -172,7 +174,7 @@ def _frequent(k: int):
                 fresh += own
                 if size > 4_000_000:
                     (kept, counts), fresh, size = compact(max(2, docs * FREQUENT_SHARE / 4)), [], 0
-        values, sums = compact(max(16, docs * FREQUENT_SHARE))
+        values, sums = compact(max(LEAST_FREQUENT, docs * FREQUENT_SHARE))
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(sums)], names=["element", "n"])
 
     return run
@@ -213,13 +215,21 @@ def _signatures(k: int, plan: Plan, frequent):
     return run
 
 
+def _parity(u: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of elements falls into each bucket. Sets differ in as many elements at least as
+    their bits differ."""
+    odd = np.bincount((u >> np.uint64(30)) & np.uint64(255), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks_of(batch.column("text")):
                 own = list(elements(block, k))
                 counts = [np.minimum(np.bincount((u >> np.uint64(20)) & np.uint64(BUCKETS - 1), minlength=BUCKETS), 65535).astype("<u2").tobytes() for u in own]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n_docs), pa.array([len(u) for u in own], pa.int32()), pa.array([u.tobytes() for u in own], pa.binary()), pa.array(counts, pa.binary())], names=["node", "n", "elements", "counts"])
+                parity = [_parity(u).view(np.int64) for u in own]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n_docs), pa.array([len(u) for u in own], pa.int32()), pa.array([u.tobytes() for u in own], pa.binary()), pa.array(counts, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], names=["node", "n", "elements", "counts", "parity"])
 
     return run
 
@@ -258,7 +268,7 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 class _Verifier:
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, plan: Plan):
         wanted = docs.join(small(nodes), docs["doc_id"] == nodes["node"], "left_semi")
-        sets = wanted.mapInArrow(_sets(k), "node long, n int, elements binary, counts binary")
+        sets = wanted.mapInArrow(_sets(k), "node long, n int, elements binary, counts binary, parity array<long>")
         self.sets = shared.written(sets, "sets")
         self.plan = plan
 
@@ -278,6 +288,12 @@ def _fits(a: str, b: str, plan: Plan) -> F.Column:
     return (F.col(a) * plan.den >= F.col(b) * plan.num) & (F.col(b) * plan.den >= F.col(a) * plan.num)
 
 
+def _differ(a: str, b: str) -> F.Column:
+    """In how many bits two parity sketches differ."""
+    words = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(4)]
+    return words[0] + words[1] + words[2] + words[3]
+
+
 def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, rounds: int = 6) -> DataFrame:
     """Edges (a, b) between documents whose closure is that of all links between different sets."""
     entry = signatures.where("keys is not null").select(F.col("doc_id").alias("node"), "n", F.explode(F.arrays_zip("keys", F.coalesce("shared", F.expr("array()").cast("array<smallint>")).alias("shared"))).alias("e"))
@@ -294,31 +310,31 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, rounds: in
     pairs = lambda rows: rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = shared.written(pairs(heavy.where(F.col("node") != F.col("pivot")).where(_fits("n", "pn", plan)).select(F.col("node").alias("x"), F.col("pivot").alias("y"))), "pairs")
     edges = shared.written(edges.union(verifier.links(tried)).union(signatures_edges(signatures)), "edges")
-    heavy = heavy.select("key", "node", "n")
+    heavy, before = heavy.select("key", "node", "n"), float("inf")
     for turn in range(rounds + 1):
         label = components(edges)
-        marked = heavy.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("same")).where("parts > 1")
-        split = split.select("key", ((F.col("g") * F.col("g") - F.col("same")) / 2).alias("left"))
-        marked = shared.written(marked.join(split, "key"), "open")
-        per_key = marked.groupBy("key").agg(F.first("left").alias("left"), F.count(F.lit(1)).alias("n"))
-        pairs_left, rows = per_key.agg(F.sum("left"), F.sum("n")).first()
+        marked = heavy.join(small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        ends = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("g")).where("a < b")
+        marked = shared.written(marked.join(ends.select("key", "g"), "key"), "open")
+        rows, pairs_left = marked.agg(F.count(F.lit(1)), F.sum("g")).first()
         if not rows:
             return edges
-        if turn == rounds or pairs_left <= 2 * rows:
+        # A star unites what is alike; lists of unlike documents stay as they are, and further stars would not help.
+        if turn == rounds or pairs_left <= 64 * rows or pairs_left > 0.7 * before:
             break
+        before = pairs_left
         order = F.xxhash64(F.lit(turn), "node")
         pivot = marked.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), order).alias("p"))
         star = marked.join(pivot, "key").where("component <> p.component").select(F.col("node").alias("x"), F.col("p.node").alias("y"), "n", F.col("p.n").alias("pn"))
         fresh = shared.written(pairs(star.where(_fits("n", "pn", plan))).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(fresh)
         edges = shared.written(edges.union(verifier.links(fresh)), "edges")
-    x = marked.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    y = marked.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _fits("nx", "ny", plan))
+    sketched = marked.join(verifier.sets.select("node", "parity"), "node")
+    x, y = (sketched.select("key", F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("component").alias(f"c{v}"), F.col("parity").alias(f"p{v}")) for v in "xy")
+    alike = _differ("px", "py") * (plan.den + plan.num) <= (F.col("nx") + F.col("ny")) * (plan.den - plan.num)
+    rest = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _fits("nx", "ny", plan) & alike)
     fresh = pairs(rest.select("x", "y")).join(tried, ["a", "b"], "left_anti")
-    return edges.union(verifier.links(fresh))
+    return shared.written(edges.union(verifier.links(fresh)), "edges")
 
 
 def signatures_edges(signatures: DataFrame) -> DataFrame:
