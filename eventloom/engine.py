@@ -256,7 +256,7 @@ class Engine:
             if index is not False:
                 postings, stats = self._postings(kept, binding, query, default_field, index)
         try:
-            chosen = sorted(binding.fields) if fields is None else [FieldId.of(f) for f in fields]
+            chosen = sorted(binding.fields, key=str) if fields is None else [FieldId.of(f) for f in fields]
             known = [f for f in chosen if binding.knows(f)]
             body = keyed_json(binding, known) if known else F.lit("{}")
             frame = search.select(binding, query, known, sort_by, limit, reverse, top=top, arrival=arrival, default_field=default_field, clock=self.clock, postings=postings, stats=stats, keep=[body.alias("__json")])
