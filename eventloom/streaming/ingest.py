@@ -62,8 +62,12 @@ def _output(conn: str, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(conn, *r) for r in rows], columns=["conn_id", "seq", "n", "frame", "schema", "tags"])
 
 
-def frames(chunks: DataFrame, framed: bool = True, limit: int = 1_000_000, idle_ms: int = 600_000) -> DataFrame:
-    """FRAMES of a stream or table ``(conn_id, seq, data)``."""
+def frames(chunks: DataFrame, framed: bool = True, limit: int = 1_000_000, idle_ms: int | None = 600_000) -> DataFrame:
+    """FRAMES of a stream or table ``(conn_id, seq, data)``.
+
+    ``idle_ms`` None keeps connections for ever: a timeout makes Spark run batches without data, so a query that is to
+    end with its input must have none.
+    """
     if not chunks.isStreaming:
 
         def whole(key, group: pd.DataFrame) -> pd.DataFrame:
@@ -79,10 +83,11 @@ def frames(chunks: DataFrame, framed: bool = True, limit: int = 1_000_000, idle_
         found = pd.concat(list(groups))
         leftover, sticky, rows = advance(bytes(leftover or b""), json.loads(sticky), found, framed, limit)
         state.update((leftover, json.dumps(sticky)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield _output(key[0], rows)
 
-    return chunks.groupBy("conn_id").applyInPandasWithState(step, FRAMES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("conn_id").applyInPandasWithState(step, FRAMES, _STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sticky_tags(messages: DataFrame) -> DataFrame:
@@ -141,7 +146,8 @@ def deliver(batch: DataFrame, chain: RoutingChain, stores: dict[str, Store]) ->
 
 def start(stream: DataFrame, chain: RoutingChain, stores: dict[str, Store], checkpoint: str, **trigger):
     """A running query that ingests ``stream(conn_id, seq, data)``. Delivery is at least once; ids are stable."""
-    ready = events(frames(stream))
+    ends = bool(trigger.get("availableNow") or trigger.get("once"))
+    ready = events(frames(stream, idle_ms=None) if ends else frames(stream))
     writer = ready.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: deliver(batch, chain, stores))
     return (writer.trigger(**trigger) if trigger else writer).start()
 
