@@ -89,7 +89,7 @@ def fit(features_: list[np.ndarray], target: np.ndarray, seed: int = 7) -> tuple
     """
     weights, bias = np.zeros(1 << BITS, np.float32), 0.0
     known = np.flatnonzero(~np.isnan(target))
-    rate = target[known].mean() if len(known) else 0.5
+    rate = target[known].mean() if len(known) else 0.0
     if not 0 < rate < 1:
         return weights, bias
     bias = math.log(rate / (1 - rate))
