@@ -18,6 +18,7 @@ text; an empty table gives an empty directory listing that reads as no rows; oth
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -43,20 +44,36 @@ def schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields])
 
 
+def _letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers write for each byte: itself if visible, else the next from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 def _tokenizer(definition: str) -> tuple:
+    """(a function from pre-tokens to their ids, the ids of known pre-tokens), kept for the worker's life.
+
+    Pre-tokens go straight to the library's model where the file asks for nothing but the byte letters before it.
+    """
     if definition not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_str(definition)
+        made, found = Tokenizer.from_str(definition), json.loads(definition)
         made.encode_special_tokens = True
-        _tokenizers[definition] = made, {}
+        before, model, letters = found.get("pre_tokenizer") or {}, made.model, _letters()
+        if found.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space"):
+            encode = lambda words: [[t.id for t in model.tokenize(w.decode("latin-1").translate(letters))] for w in words]
+        else:
+            encode = lambda words: [e.ids for e in made.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        _tokenizers[definition] = encode, {}
     return _tokenizers[definition]
 
 
 def _encoder(definition: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, cache = _tokenizer(definition)
+        encode, cache = _tokenizer(definition)
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column(0)
@@ -65,8 +82,7 @@ def _encoder(definition: str, end_id: int):
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
                 missing = [w for w in words if w not in cache]
-                for word, got in zip(missing, library.encode_batch([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                    cache[word] = got.ids
+                cache.update(zip(missing, encode(missing), strict=True))
                 ids, ends = spread(codes, [cache[w] for w in words])
                 bounds = np.concatenate([[0], ends])[block.bounds]
                 ids = np.insert(ids, bounds[1:], end_id)
