@@ -14,7 +14,7 @@ Two sets link when ``den * |A & B| >= num * |A | B|``. A set's cost decides its
 
 Candidates of the lists are never enumerated pairwise. In each list all are held against one pivot; what links is
 united. While that shrinks the lists with several components, further pivots follow in other random orders; then the
-pairs across components are held against each other, whatever their number, if their parity sketches (256 bits that
+pairs across components are held against each other, whatever their number, if their parity sketches (bits that
 bound the difference of two sets from below) allow a link. Candidates are checked on the whole sets, after a bound from
 the element counts in 64 buckets. So no link between different texts is lost, and the rows stay near the number of list
 entries.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +44,8 @@ from .components import components
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 BUCKETS = 64
+#: 64-bit words of a set's parity sketch: enough to tell sets of a few thousand elements just below the threshold.
+PARITY_WORDS = 32
 #: Elements in at least this share of a task's documents (and in 12) may be left out of the blocks; any choice is right.
 FREQUENT_SHARE = 0.0005
 LEAST_FREQUENT = 12
@@ -216,9 +219,10 @@ def _signatures(k: int, plan: Plan, frequent):
 
 
 def _parity(u: np.ndarray) -> np.ndarray:
-    """256 bits: whether an odd number of elements falls into each bucket. Sets differ in as many elements at least as
+    """Whether an odd number of elements falls into each bucket, as bits. Sets differ in as many elements at least as
     their bits differ."""
-    odd = np.bincount((u >> np.uint64(30)) & np.uint64(255), minlength=256) & 1
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount((u >> np.uint64(30)) & np.uint64(bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
@@ -290,8 +294,8 @@ def _fits(a: str, b: str, plan: Plan) -> F.Column:
 
 def _differ(a: str, b: str) -> F.Column:
     """In how many bits two parity sketches differ."""
-    words = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(4)]
-    return words[0] + words[1] + words[2] + words[3]
+    words = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY_WORDS)]
+    return reduce(lambda x, y: x + y, words)
 
 
 def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, rounds: int = 6) -> DataFrame:
