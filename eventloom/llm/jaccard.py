@@ -361,9 +361,11 @@ def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
     found = components(links(docs, signatures, k, plan))
     label = found.select(F.col("node").alias("doc_id"), "component")
     rows = signatures.select("doc_id", "n", "h1", "h2")
-    # A set's component: the least of its documents' components, or of its documents.
+    # Only some of a set's documents are nodes, so the least id of a component may be that of a copy that is none.
     marked = rows.where("doc_id is not null and n > 0").join(label, "doc_id", "left")
-    least = marked.groupBy("h1", "h2", "n").agg(F.min(F.coalesce("component", "doc_id")).alias("set_component"))
+    sets = marked.groupBy("h1", "h2", "n").agg(F.min("component").alias("c"), F.min("doc_id").alias("least"))
+    whole = sets.where("c is not null").groupBy("c").agg(F.min("least").alias("whole"))
+    least = sets.join(whole, "c", "left").select("h1", "h2", "n", F.coalesce("whole", "least").alias("set_component"))
     repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     if not repeated.isEmpty():
         return _with_repeated_ids(rows, marked, least)

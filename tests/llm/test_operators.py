@@ -127,6 +127,15 @@ def test_jaccard(docs, odd, none, rows, k, num):
         assert got(jaccard.one_of_each(odd[0], k, num), "doc_id").count((rows[60][0],)) == 1
 
 
+def test_jaccard_least_id_is_a_later_copy(spark):
+    """Of equal sets in a task only the first makes entries; the least id may be another's."""
+    base = [f"w{i}" for i in range(150)]
+    near = [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in (20, 90)]
+    rows = [(9, " ".join(base)), (8, near[0]), (7, near[1]), (3, " ".join(base)), (1, near[0]), (2, "alone " * 5), (0, "alone " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    same(jaccard.classes(docs), plain.classes(rows, 3, 90, 100), "doc_id", "n_shingles", "component_id")
+
+
 def test_jaccard_entries_lose_no_link():
     """Linked sets of any size share an entry, whatever elements are left out as frequent."""
     rng = np.random.default_rng(4)
