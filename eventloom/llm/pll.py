@@ -1,17 +1,19 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts every token from ``SIDE`` tokens on each side: their embeddings pass a hidden layer, and a
-two-level softmax (class, then member) gives an exactly normalised probability. A document's score is the sum of the
-conditional log-probabilities of its tokens.
+two-level softmax (class, then member) over the most frequent words and ``ENDINGS`` groups of all others, by a hash of
+their last three bytes, gives an exactly normalised probability. Each group is a binary tree of its words, with a logistic
+choice at each node. A document's score is the sum of the conditional log-probabilities of its tokens.
 
-1. The words of all documents are counted (a grouped sum over all distinct words); the most frequent ones are tokens,
-   each other word counts as one of ``ENDINGS`` tokens by its last three bytes.
+1. The words of all documents are counted (a grouped sum over all distinct words). Every word counted ``LEAST`` times or
+   more is a token of its own; the others of a group share one leaf of its tree. The trees are Huffman trees of the
+   counts, so the cost of a word grows with the logarithm of the vocabulary, and a word starts with its share of its group.
 2. The network starts from a fit to at most ``WARM_DOCS`` documents, drawn by a hash of the text. Then each task trains
-   it on all windows of all its documents, and the results are averaged, weighted by their windows, in integer sums that
-   do not depend on the order of tasks.
+   it on all windows of all its documents, and the results are averaged: the layers weighted by their windows, the rows
+   of a word or node by how often a task has met them, in integer sums that do not depend on the order of tasks.
 3. Every document is scored; nothing but ids and scores leaves the tasks.
 
-The model has a fixed size (a few hundred KB), whatever the corpus.
+The model grows with the vocabulary: 29 numbers for each word. Driver and tasks hold it whole.
 
 Edge cases: null and empty texts, and texts without words, have 0 tokens, score 0 and a null mean; beyond a text's ends
 the window holds a padding token; documents are whole; repeated rows give repeated scores; an empty table gives no rows;
@@ -20,24 +22,32 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textblock
+from . import shared, textblock
 from .leaks import SEPARATORS
 
 SIDE = 2
 CLASSES = MEMBERS = 32
 ENDINGS = 128
 WORDS = CLASSES * MEMBERS - ENDINGS
+#: Words of fewer occurrences in the corpus share a leaf of their ending's tree.
+LEAST = 10
+PADDING = CLASSES * MEMBERS
+FIRST = PADDING + 1  # token of the first word that has a leaf in a tree
 EMBED, HIDDEN = 12, 16
 BATCH = 8192
 WARM_DOCS = 1000
 UNIT = 1 << 20
+TAIL_RATE = 0.02
+_CHUNK = 4096
 _SIZES = {"embed": (CLASSES * MEMBERS + 1, EMBED), "inner": (2 * SIDE * EMBED, HIDDEN), "bias": (HIDDEN,), "classes": (CLASSES, HIDDEN), "class_bias": (CLASSES,), "members": (CLASSES, MEMBERS, HIDDEN), "member_bias": (CLASSES, MEMBERS)}
 PARAMETERS = sum(int(np.prod(s)) for s in _SIZES.values())
 
@@ -46,6 +56,12 @@ def _blocks(texts: pa.Array):
     return textblock.blocks(texts, textblock.word_table(SEPARATORS), lower=True)
 
 
+def _keys(block: textblock.Block) -> np.ndarray:
+    """A hash of each word of a block, whose lowest bits are the word's ending."""
+    ending = textblock.range_hashes(block.data, np.maximum(block.starts, block.ends - 3), block.ends)
+    return (block.hashes() & ~np.uint64(ENDINGS - 1)) | (ending % np.uint64(ENDINGS))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept, sums, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
@@ -60,7 +76,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for block in _blocks(batch.column("text")):
-            fresh.append(block.hashes())
+            fresh.append(_keys(block))
             size += len(fresh[-1])
             if size > 2_000_000:
                 (kept, sums), fresh, size = merged(), [], 0
@@ -71,28 +87,129 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the WORDS most frequent words, most frequent first, from counts of all words."""
+@dataclass
+class Tail:
+    """The words beyond the WORDS most frequent ones: their places in the trees, and what is learned of them.
+
+    Leaves are the words, then the shared leaf of each ending. They are ranked from left to right, tree after tree, so
+    that the leaves below any inner node are neighbours. There are as many inner nodes as words.
+    """
+
+    endings: np.ndarray  # of the leaves
+    rank: np.ndarray  # of the leaves
+    root: np.ndarray  # the inner node at the top of each ending's tree, or -1
+    split: np.ndarray  # the least rank on the right of an inner node
+    child: np.ndarray  # the inner nodes on its left and right, -1 for a leaf
+    embed: np.ndarray  # of the words, added to the embedding of the word's ending
+    node: np.ndarray  # weights of the inner nodes, the last column their bias
+
+    def __len__(self) -> int:
+        return len(self.embed)
+
+    def copy(self) -> Tail:
+        return Tail(self.endings, self.rank, self.root, self.split, self.child, self.embed.copy(), self.node.copy())
+
+
+def plant(endings: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> Tail:
+    """Huffman trees of words (with their counts) and the shared leaves (with theirs)."""
+    n = len(endings)
+    leaves = n + ENDINGS
+    below, kids, bias, tops, ranked = [1] * leaves, [], [], [], 0
+    order = np.argsort(endings, kind="stable")
+    edges = np.searchsorted(endings[order], np.arange(ENDINGS + 1))
+    first = [0] * (leaves + n)
+    for e in range(ENDINGS):
+        own, bottom = order[edges[e] : edges[e + 1]], len(kids)
+        heap = [*zip(counts[own].tolist(), own.tolist(), strict=True), (max(1, int(rest[e])), n + e)]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (a + b, leaves + len(kids)))
+            kids.append((left, right))
+            bias.append(np.log(b / a))
+            below.append(below[left] + below[right])
+        tops.append(heap[0][1])
+        first[tops[-1]] = ranked
+        for i in range(len(kids) - 1, bottom - 1, -1):
+            left, right = kids[i]
+            first[left] = first[leaves + i]
+            first[right] = first[left] + below[left]
+        ranked += len(own) + 1
+    child = np.array(kids, np.int64).reshape(-1, 2)
+    first, node = np.array(first, np.int32), np.zeros((n, HIDDEN + 1), np.float32)
+    node[:, HIDDEN] = bias
+    inner = lambda x: np.where(x < leaves, -1, x - leaves).astype(np.int32)
+    every = np.concatenate([endings, np.arange(ENDINGS)]).astype(np.int32)
+    return Tail(every, first[:leaves], inner(np.array(tops)), first[child[:, 1]], inner(child), np.zeros((n, EMBED), np.float32), node)
+
+
+@dataclass
+class Model:
+    words: np.ndarray  # keys: the WORDS most frequent words, then those of the tail
+    flat: np.ndarray
+    tail: Tail
+
+
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, Tail]:
+    """Keys of all words counted at least LEAST times or among the WORDS most frequent, most frequent first, and their trees."""
     counted = docs.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
-    return np.asarray(rows["word"].combine_chunks()).view(np.uint64)
+    counted = shared.written(counted, "words")
+    rare = F.col("n") < LEAST
+    ending = F.col("word").bitwiseAND(F.lit(ENDINGS - 1))
+    # Of the rare words only the sums by ending are wanted, but a small corpus may have no more than those.
+    top = counted.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    rows = counted.select(F.when(~rare, F.col("word")).alias("word"), ending.alias("ending"), "n").groupBy("word", "ending").agg(F.sum("n").alias("n")).toArrow()
+    column = lambda t, c: np.asarray(t[c].combine_chunks())
+    head, own = column(top, "word"), np.asarray(rows["word"].is_valid().combine_chunks())
+    rest = np.zeros(ENDINGS, np.int64)
+    rest[column(rows, "ending")[~own]] = column(rows, "n")[~own]
+    few = column(top, "n") < LEAST
+    np.subtract.at(rest, head[few] & (ENDINGS - 1), column(top, "n")[few])
+    words, n = np.asarray(rows["word"].combine_chunks().fill_null(0))[own], column(rows, "n")[own]
+    left = ~np.isin(words, head)
+    words, n = words[left], n[left]
+    order = np.lexsort((words, -n))
+    words, n = words[order], n[order]
+    return np.concatenate([head, words]).view(np.uint64), plant(words & (ENDINGS - 1), n, rest)
 
 
 class Vocabulary:
+    """Tokens of words: places of the most frequent words, WORDS + ending for rare words, FIRST + place in the tail."""
+
     def __init__(self, words: np.ndarray):
-        self.order = np.argsort(words)
-        self.words = words[self.order]
+        bits = max(4, int(2 * len(words)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.words, self.table = words, np.full(1 << bits, -1, np.int32)
+        todo, at = np.arange(len(words)), self._slots(words)
+        while len(todo):  # open addressing; of those that meet in a free slot, one stays
+            free = self.table[at] < 0
+            self.table[at[free]] = todo[free]
+            away = self.table[at] != todo
+            todo, at = todo[away], (at[away] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift).astype(np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the words, or -1."""
+        if not len(self.words):
+            return np.full(len(keys), -1, np.int64)
+        at = self._slots(keys)
+        out = self.table[at].astype(np.int64)
+        todo = np.flatnonzero((out >= 0) & (self.words[out] != keys))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            out[todo] = self.table[at[todo]]
+            todo = todo[(out[todo] >= 0) & (self.words[out[todo]] != keys[todo])]
+        return out
 
     def windows(self, block: textblock.Block) -> tuple[np.ndarray, np.ndarray]:
         """(token, the tokens around it) for each word of a block."""
-        hashes = block.hashes()
-        ending = textblock.range_hashes(block.data, np.maximum(block.starts, block.ends - 3), block.ends)
-        tokens = WORDS + (ending % np.uint64(ENDINGS)).astype(np.int64)
-        if len(self.words):
-            near = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            tokens = np.where(self.words[near] == hashes, self.order[near], tokens)
+        keys = _keys(block)
+        found = self.places(keys)
+        tokens = np.where(found < 0, WORDS + (keys % np.uint64(ENDINGS)).astype(np.int64), np.where(found < WORDS, found, found - WORDS + FIRST))
         at = np.arange(len(tokens)) + SIDE * (1 + block.docs_of_words())
-        padded = np.full(len(tokens) + SIDE * (block.n_docs + 1), CLASSES * MEMBERS, np.int64)
+        padded = np.full(len(tokens) + SIDE * (block.n_docs + 1), PADDING, np.int64)
         padded[at] = tokens
         around = [padded[at + j] for j in range(-SIDE, SIDE + 1) if j]
         return tokens, np.stack(around, 1) if len(tokens) else np.zeros((0, 2 * SIDE), np.int64)
@@ -125,23 +242,83 @@ def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return logits, e
 
 
+def _summed(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct ids, how often each occurs, the sums of its rows of values)."""
+    if not len(ids):
+        return ids, ids, values
+    ids = ids.astype(np.int32)
+    order = np.argsort(ids)
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[first], np.diff(np.append(first, len(ids))), np.add.reduceat(values[order], first, 0)
+
+
 class Network:
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat.astype(np.float32)
+    def __init__(self, flat: np.ndarray, tail: Tail | None = None):
+        self.flat, self.tail = flat.astype(np.float32), tail
         self.p = unpack(self.flat)
+        self.slopes: list = []  # of the tail's embeddings and nodes, after a run with gradient
+
+    def _down(self, rank: np.ndarray, ending: np.ndarray, hidden: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probabilities of leaves in their trees, what they pass back to ``hidden``); the leaves come by their ranks."""
+        tail, met = self.tail, []
+        out, back = np.zeros(len(rank), np.float32), np.zeros((len(rank) if gradient else 0, HIDDEN + 1), np.float32)
+        h = np.ones((len(rank), HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = hidden
+        at, up = np.arange(len(rank)), tail.root[ending]
+        while True:
+            more = np.flatnonzero(up >= 0)
+            if not len(more):
+                break
+            if len(more) < len(up):
+                at, up, rank, h = at[more], up[more], rank[more], h[more]
+            w = tail.node[up]
+            side = rank >= tail.split[up]
+            sign = np.where(side, np.float32(1), np.float32(-1))
+            z = sign * np.einsum("ij,ij->i", h, w)
+            small = np.exp(-np.abs(z))
+            out[at] += np.minimum(z, 0) - np.log(1 + small)
+            if gradient:
+                g = (sign * np.where(z < 0, np.float32(1), small) / (1 + small))[:, None]
+                w *= g
+                back[at] += w
+                first = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+                met.append((up[first], np.diff(np.append(first, len(up))), np.add.reduceat(h * g, first, 0)))
+            up = tail.child[up, side.view(np.int8)]
+        if gradient:
+            empty = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, HIDDEN + 1), np.float32))
+            self.slopes[1] = tuple(np.concatenate(x) for x in zip(empty, *met, strict=True))
+        return out, back[:, :HIDDEN]
 
     def run(self, tokens: np.ndarray, around: np.ndarray, gradient: bool = False):
         """Log-probabilities of the tokens, sorted as given; with ``gradient`` also the flat gradient of their sum."""
         p, n = self.p, len(tokens)
-        order = np.argsort(tokens // MEMBERS, kind="stable")
-        tokens, around = tokens[order], around[order]
-        group, member = tokens // MEMBERS, tokens % MEMBERS
+        key = tokens
+        if self.tail is not None:
+            places = np.flatnonzero(around.reshape(-1) >= FIRST)
+            others = around.reshape(-1)[places] - FIRST
+            around = around.copy()
+            around.reshape(-1)[places] = WORDS + self.tail.endings[others]
+            far = tokens >= WORDS
+            leaves = np.where(tokens >= FIRST, tokens - FIRST, tokens - WORDS + len(self.tail))[far]
+            key = tokens.astype(np.int32)
+            key[far] = WORDS + self.tail.rank[leaves]
         x = p["embed"][around].reshape(n, -1)
+        if self.tail is not None:
+            x.reshape(-1, EMBED)[places] += self.tail.embed[others]
+        order = np.argsort(key)
+        if self.tail is not None:
+            nodes = tokens.copy()
+            nodes[far] = WORDS + self.tail.endings[leaves]
+            tokens = nodes
+        tokens, x = tokens[order], x[order]
+        group, member = tokens // MEMBERS, tokens % MEMBERS
         hidden = np.tanh(x @ p["inner"] + p["bias"])
         log_class, class_p = _softmax(hidden @ p["classes"].T + p["class_bias"])
         rows = np.arange(n)
         out = log_class[rows, group]
         edges = np.searchsorted(group, np.arange(CLASSES + 1))
+        back = None
         if gradient:
             flat = np.zeros(PARAMETERS, np.float32)
             g = unpack(flat)
@@ -163,6 +340,13 @@ class Network:
                 g["members"][c] = member_p.T @ hidden[a:b]
                 g["member_bias"][c] = member_p.sum(0)
                 back[a:b] += member_p @ p["members"][c]
+        if self.tail is not None:
+            self.slopes = [None, None]
+            far = np.searchsorted(tokens, WORDS)
+            own, passed = self._down(key[order[far:]] - WORDS, tokens[far:] - WORDS, hidden[far:], gradient)
+            out[far:] += own
+            if gradient:
+                back[far:] += passed
         scores = np.empty(n, np.float32)
         scores[order] = out
         if not gradient:
@@ -170,16 +354,22 @@ class Network:
         back *= 1 - hidden * hidden
         g["inner"][:] = x.T @ back
         g["bias"][:] = back.sum(0)
+        slope = np.empty((n, 2 * SIDE * EMBED), np.float32)
+        slope[order] = back @ p["inner"].T
         at = (around.reshape(-1, 1) * EMBED + np.arange(EMBED)).reshape(-1)
-        g["embed"][:] = np.bincount(at, (back @ p["inner"].T).reshape(-1), g["embed"].size).reshape(g["embed"].shape)
+        g["embed"][:] = np.bincount(at, slope.reshape(-1), g["embed"].size).reshape(g["embed"].shape)
+        if self.tail is not None:
+            self.slopes[0] = _summed(others, slope.reshape(-1, EMBED)[places])
         return scores, flat
 
 
 class Trainer:
-    """Adaptive gradient steps (a running mean of squares) over batches of windows."""
+    """Adaptive gradient steps over batches of windows: a running mean of squares, and sums of squares by row for the tail."""
 
-    def __init__(self, flat: np.ndarray, rate: float):
-        self.network, self.rate, self.squares, self.steps, self.windows = Network(flat), rate, np.zeros(PARAMETERS, np.float32), 0, 0
+    def __init__(self, flat: np.ndarray, rate: float, tail: Tail):
+        self.network, self.rate, self.squares, self.steps, self.windows = Network(flat, tail.copy()), rate, np.zeros(PARAMETERS, np.float32), 0, 0
+        self.tables = [self.network.tail.embed, self.network.tail.node]
+        self.tail_squares, self.met = [np.zeros(len(tail), np.float32) for _ in range(2)], [np.zeros(len(tail), np.int64) for _ in range(2)]
 
     def feed(self, tokens: np.ndarray, around: np.ndarray) -> None:
         for at in range(0, len(tokens), BATCH):
@@ -190,53 +380,89 @@ class Trainer:
             self.squares += 0.01 * (slope * slope - self.squares)
             rate = self.rate / (1 + self.steps / 200) ** 0.5
             self.network.flat += rate * slope / (np.sqrt(self.squares / (1 - 0.99**self.steps)) + 1e-5)
+            for (ids, times, own), table, squares, met in zip(self.network.slopes, self.tables, self.tail_squares, self.met, strict=True):
+                squares[ids] += (own * own).mean(1)
+                table[ids] += TAIL_RATE * own / (np.sqrt(squares[ids]) + 1e-5)[:, None]
+                met[ids] += times
             self.windows += len(part)
 
 
-def _train(flat, words: np.ndarray, rate: float, epochs: int = 1):
+def _train(model, rate: float, epochs: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, lookup = Trainer(flat, rate), Vocabulary(words)
+        trainer, lookup = Trainer(model.value.flat, rate, model.value.tail), Vocabulary(model.value.words)
         if epochs > 1:
             batches = list(batches) * epochs  # only for the bounded warm-up
         for batch in batches:
             for block in _blocks(batch.column("text")):
                 trainer.feed(*lookup.windows(block))
-        if trainer.windows:
-            fixed = np.rint(np.clip(trainer.network.flat.astype(np.float64), -1000, 1000) * UNIT).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARAMETERS, dtype=np.int32)), pa.array(fixed), pa.array(np.full(PARAMETERS, trainer.windows))], names=["i", "value", "n"])
+        if not trainer.windows:
+            return
+        tables = [trainer.network.flat[:, None], *trainer.tables]
+        for kind, (table, met) in enumerate(zip(tables, [np.full(PARAMETERS, trainer.windows), *trainer.met], strict=True)):
+            for chunk, first in enumerate(range(0, len(table), _CHUNK)):
+                ids = np.flatnonzero(met[first : first + _CHUNK]) + first
+                if len(ids):
+                    packed = [pa.array([v.tobytes()], pa.binary()) for v in (ids.astype(np.int32), met[ids], table[ids])]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), *packed], names=["kind", "chunk", "ids", "n", "rows"])
 
     return run
 
 
-def _average(rows: DataFrame, otherwise: np.ndarray) -> np.ndarray:
-    big = lambda c: F.sum(c.cast("decimal(38,0)"))
-    weighted = F.col("value").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
-    found = rows.groupBy("i").agg(big(weighted).alias("total"), big(F.col("n")).alias("n")).select("i", (F.col("total").cast("double") / F.col("n").cast("double")).alias("mean")).toArrow()
-    if not found.num_rows:
-        return otherwise
-    out = np.zeros(PARAMETERS)
-    out[np.asarray(found["i"].combine_chunks())] = np.asarray(found["mean"].combine_chunks()) / UNIT
-    return out.astype(np.float32)
+_WIDTHS = (1, EMBED, HIDDEN + 1)
+_ROWS = "kind int, chunk int, ids binary, n binary, rows binary"
+
+
+def _unpacked(batch: pa.RecordBatch):
+    columns = [batch.column(c).to_pylist() for c in ("kind", "chunk", "ids", "n", "rows")]
+    for kind, chunk, ids, n, rows in zip(*columns, strict=True):
+        yield kind, chunk, np.frombuffer(ids, np.int32), np.frombuffer(n, np.int64), np.frombuffer(rows, np.float32).reshape(-1, _WIDTHS[kind])
+
+
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict = {}
+    for batch in batches:
+        for kind, chunk, ids, n, rows in _unpacked(batch):
+            if (kind, chunk) not in sums:
+                sums[kind, chunk] = np.zeros((3, _CHUNK, _WIDTHS[kind]), np.int64)
+            high, low, total = sums[kind, chunk]
+            at, fixed = ids - chunk * _CHUNK, np.rint(np.clip(rows.astype(np.float64), -1000, 1000) * UNIT).astype(np.int64)
+            high[at] += fixed * (n >> 20)[:, None]  # two limbs, so that no sum overflows
+            low[at] += fixed * (n & (1 << 20) - 1)[:, None]
+            total[at] += n[:, None]
+    for (kind, chunk), (high, low, total) in sums.items():
+        at = np.flatnonzero(total[:, 0])
+        mean = (high[at].astype(np.float64) * (1 << 20) + low[at]) / total[at] / UNIT
+        packed = [pa.array([v.tobytes()], pa.binary()) for v in ((at + chunk * _CHUNK).astype(np.int32), total[at, 0], mean.astype(np.float32))]
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), *packed], names=["kind", "chunk", "ids", "n", "rows"])
+
+
+def _average(rows: DataFrame, otherwise: Model) -> Model:
+    """The averaged model; what no task has met stays as it was."""
+    out = Model(otherwise.words, otherwise.flat.copy(), otherwise.tail.copy())
+    tables = [out.flat[:, None], out.tail.embed, out.tail.node]
+    for batch in rows.repartition("kind", "chunk").mapInArrow(_means, _ROWS).toArrow().to_batches():
+        for kind, _, ids, _, means in _unpacked(batch):
+            tables[kind][ids] = means
+    return out
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, network) from all documents."""
+def train(docs: DataFrame) -> Model:
+    """A model of all documents."""
     slim = docs.where("text is not null").select("text")
-    words = vocabulary(slim)
-    schema = "i int, value long, n long"
-    first = start()
+    words, tail = vocabulary(slim)
+    send = docs.sparkSession.sparkContext.broadcast
+    first = Model(words, start(), tail)
     # Twice as many are drawn as wanted, so that ordering them takes little of each task, whatever the corpus.
     step = max(1, slim.count() // (2 * WARM_DOCS))
     drawn = slim.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
     warm = drawn.orderBy(F.xxhash64("text"), "text").limit(WARM_DOCS).repartition(1)
-    warmed = _average(warm.mapInArrow(_train(first, words, 0.02, epochs=2), schema), first)
-    return words, _average(slim.mapInArrow(_train(warmed, words, 0.004), schema), warmed)
+    warmed = _average(warm.mapInArrow(_train(send(first), 0.02, epochs=2), _ROWS), first)
+    return _average(slim.mapInArrow(_train(send(warmed), 0.004), _ROWS), warmed)
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = model.value
-        lookup, network = Vocabulary(words), Network(flat)
+        lookup, network = Vocabulary(model.value.words), Network(model.value.flat, model.value.tail)
         for batch in batches:
             for block in _blocks(batch.column("text")):
                 tokens, around = lookup.windows(block)
@@ -250,7 +476,7 @@ def _score(model):
     return run
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood; trains on ``docs`` unless a model is given."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared_model = docs.sparkSession.sparkContext.broadcast(model or train(slim))

@@ -302,3 +302,31 @@ def test_pseudo_likelihood_gradient():
         assert abs((ends[0] - ends[1]) / 2e-2 - slope[i]) < 0.05 * max(1, abs(slope[i]))
     scores = [network.run(np.full(1, t), around[:1])[0] for t in range(1024)]
     assert abs(np.exp(scores).sum() - 1) < 1e-3
+
+
+def test_pseudo_likelihood_tells_frequent_words_apart(spark):
+    """Beyond the 896 most frequent words: a word of its own keeps its identity, and the probabilities sum to 1."""
+    n = pll.WORDS + 400
+    texts = [(i, " ".join(f"w{j}end" for j in range(k, n, 50) for _ in range(1 + (j < pll.WORDS)) for _ in range(12))) for i, k in enumerate(range(50))]
+    texts.append((99, "w1end rareend"))
+    # Two words of one ending, of which one occurs far more often.
+    texts.append((100, "bigxyz " * 400 + "tinyxyz " * 11))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    model = pll.train(table)
+    assert len(model.words) == n + 2
+    probe = spark.createDataFrame([(1, "w1200end"), (2, "w1290end"), (3, "unseenend")], "doc_id long, text string")
+    found = {r.doc_id: r.log_likelihood for r in pll.scores(probe, model).collect()}
+    assert len(set(found.values())) == 3
+    network = pll.Network(model.flat, model.tail)
+    tokens = np.concatenate([np.arange(pll.PADDING), pll.FIRST + np.arange(len(model.tail))])
+    around = np.tile(np.array([[0, pll.FIRST, pll.PADDING, pll.FIRST + 5]]), (len(tokens), 1))
+    assert abs(np.exp(network.run(tokens, around).astype(np.float64)).sum() - 1) < 1e-3
+    _, _ = network.run(tokens, around, gradient=True)
+    ids, _, slope = network.slopes[1]
+    for k in (0, len(ids) // 2, len(ids) - 1):
+        ends = []
+        for step in (1e-2, -1e-2):
+            moved = model.tail.copy()
+            moved.node[ids[k], pll.HIDDEN] += step
+            ends.append(pll.Network(model.flat, moved).run(tokens, around).astype(np.float64).sum())
+        assert abs((ends[0] - ends[1]) / 2e-2 - slope[k, pll.HIDDEN]) < 0.05 * max(1, abs(slope[k, pll.HIDDEN]))
