@@ -4,8 +4,9 @@
 pattern by ``regexp_extract_all`` and ``split``; running sums of their lengths are the places. The patterns are written
 so that the regex engine needs no recursion and linear time on long runs.
 
-**Bootstrapping.** A *pattern* is the word left of a span, for a kind; an *instance* is a token that looks like an
-identifier (it holds a digit or ``@``). The corpus gives a graph of patterns and instances with counts. A pattern's
+**Bootstrapping.** A *pattern* is the word left of a span, for a kind; an *instance* is a base span of any kind, with all
+of its words, or a token that looks like an identifier (it holds a digit or ``@``) and touches no base span. A token that
+a span is part of stands for its first span. The corpus gives a graph of patterns and instances with counts. A pattern's
 score is the mean confidence of what follows it (any word that is no instance counts 0), an instance's the mean score of
 the patterns before it; seeds keep confidence 1. After ``ROUNDS`` rounds, patterns of at least ``LEAST_SCORE`` with
 ``LEAST_SEEDS`` different seeds label the unseen instances after them. Discovered spans that touch a seed's are dropped.
@@ -37,7 +38,13 @@ SHAPES = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(SHAPES)
-_TOKEN = r"(?<!\S)(\S++)(?=(\s++)((?=[^\s0-9@]*+[0-9@])\S++))"
+#: Characters of base spans are written in a private range of their kind while tokens are cut, so a span is one token.
+_PRIVATE = 0xE100
+_ASCII = "".join(map(chr, range(0x20, 0x7F)))
+_MARKS = ["".join(chr(_PRIVATE + 0x100 * i + ord(c)) for c in _ASCII) for i in range(len(KINDS))]
+_ANY_MARK = f"{_MARKS[0][0]}-{_MARKS[-1][-1]}"
+_MARKED = "|".join(f"[{m[0]}-{m[-1]}]++" for m in _MARKS)
+_TOKEN = rf"(?<!\S)(\S++)(?=(\s++)((?=[^\s0-9@{_ANY_MARK}]*+[0-9@{_ANY_MARK}])\S++))"
 _LEADING = r"^[(\[<{\"'`*]+"
 _TRAILING = r"[)\]>}\"'`*.,;:!?]+$"
 _SPANS = "array<struct<start:int,end:int>>"
@@ -94,13 +101,36 @@ def seeds(df: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(*[c for c in df.columns if not c.startswith("pii_")], *spans)
 
 
-def _token_kind(token: Column) -> Column:
-    """The kind that a whole token has by its shape, or null."""
-    out = F.lit(None).cast("string")
-    for kind in reversed(KINDS):
-        shape = SHAPES[kind].replace(r"(?:(?<![A-Za-z0-9._%+-])|\G)", "").replace("(?<![0-9])", "")
-        out = F.when(token.rlike(f"^(?:{shape})$") & _valid(kind, token), kind).otherwise(out)
-    return out
+def _marked(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the characters of base spans replaced by private ones of their kind; all places stay."""
+    found = seeds(df, text_col)
+    base = [F.transform(f"pii_{k}", _back_first(i)) for i, k in enumerate(KINDS)]
+    found = found.select(*df.columns, F.sort_array(F.concat(*base)).alias("_base"))
+    text = F.regexp_replace(text_col, f"[{_ANY_MARK}]", "\ufffd")
+
+    def step(s: Column, x: Column) -> Column:
+        end, piece = -x["back"], F.substring(text_col, F.greatest(s["at"], x["start"]) + 1, -x["back"] - F.greatest(s["at"], x["start"]))
+        gap = F.when(x["start"] > s["at"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).otherwise("")
+        kind = F.when(x["start"] >= s["at"], x["number"]).otherwise(s["number"])  # what overlaps a span continues it
+        mark = F.translate(piece, _ASCII, _MARKS[-1])
+        for i in range(len(KINDS) - 1):
+            mark = F.when(kind == i, F.translate(piece, _ASCII, _MARKS[i])).otherwise(mark)
+        new = F.struct(end.alias("at"), kind.alias("number"), F.concat(s["out"], F.array(F.concat(gap, mark))).alias("out"))
+        return F.when(end > s["at"], new).otherwise(s)
+
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("number"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate("_base", first, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text_col))))
+    return found.withColumn(text_col, F.when(F.size("_base") > 0, whole).otherwise(text)).select(df.columns)
+
+
+def _back_first(number: int):
+    return lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(number).alias("number"))
+
+
+def _seed(token: Column) -> Column:
+    """The kind of the first base span in a token of a marked text, or null."""
+    point = F.ascii(F.regexp_extract(token, f"[{_ANY_MARK}]", 0))
+    return F.when(point > 0, F.get(F.array(*map(F.lit, KINDS)), ((point - _PRIVATE) / 0x100).cast("int")))
 
 
 def _trimmed(token: Column) -> Column:
@@ -108,9 +138,9 @@ def _trimmed(token: Column) -> Column:
 
 
 def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with ``left, token, start``: a row for each identifier-like token that follows a word."""
+    """``df`` (marked) with ``left, token, start``: a row for each identifier-like token that follows a word."""
     text = F.col(text_col)
-    ready = df.where(text.rlike("[0-9@]")).withColumn("_l", F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))).where(F.size("_l") > 0)
+    ready = df.withColumn("_l", F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)))
     ready = ready.withColumns({"_w": F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(2)), "_t": F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(3)), "_g": F.split(text, _TOKEN, -1)})
     ready = ready.withColumn("_p", _places(F.col("_l"), F.col("_g"), lambda m: F.lit(True)))
     rows = ready.select(*df.columns, F.explode(F.arrays_zip("_l", "_w", "_t", "_p")).alias("c"))
@@ -122,11 +152,12 @@ def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
 def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``left, kind, score``: the words whose followers are identifiers of a kind, from all documents."""
     slim = docs.select(F.col(text_col).alias("text"))
-    pairs = candidates(slim).groupBy("left", "token").agg(F.count(F.lit(1)).alias("n"))
-    graph = shared.written(pairs.withColumn("seed", _token_kind(F.col("token"))), "graph")
+    pairs = candidates(_marked(slim.where(F.col("text").rlike("[0-9@]")))).select("left", "token", _seed(F.col("token")).alias("seed"))
+    pairs = pairs.withColumn("token", F.when(F.col("seed").isNull(), F.col("token")).otherwise(F.regexp_extract("token", _MARKED, 0)))
+    graph = shared.written(pairs.groupBy("left", "token", "seed").agg(F.count(F.lit(1)).alias("n")), "graph")
     known = graph.where("seed is not null").groupBy("left", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("seed_n")).where(F.col("seeds") >= LEAST_SEEDS)
     known = shared.written(known, "known")
-    words = slim.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("left")).join(small(known.select("left").distinct()), "left", "left_semi")
+    words = _marked(slim).select(F.explode(F.split(F.lower("text"), r"\s+")).alias("left")).join(small(known.select("left").distinct()), "left", "left_semi")
     totals = words.groupBy("left").agg(F.count(F.lit(1)).alias("total"))
     # What cannot reach the score even with all of its instances at confidence 1 is left out of the graph.
     most = graph.groupBy("left").agg(F.sum("n").alias("instances"))
@@ -146,8 +177,9 @@ def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def discovered(docs: DataFrame, found: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """``key`` and ``extra``: spans (start, end, kind) of unseen identifiers after high-confidence patterns."""
     best = found.groupBy("left").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    rows = candidates(docs.select(*key, F.col(text_col).alias("text")).distinct(), "text").drop("text")
-    rows = rows.where(_token_kind(F.col("token")).isNull()).join(small(best), "left")
+    texts = docs.select(*key, F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]")).distinct()
+    rows = candidates(_marked(texts)).drop("text")
+    rows = rows.where(_seed(F.col("token")).isNull()).join(small(best), "left")
     span = F.struct("start", (F.col("start") + F.length("token")).alias("end"), "kind")
     return rows.groupBy(*key).agg(F.sort_array(F.collect_set(span)).alias("extra"))
 

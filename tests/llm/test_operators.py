@@ -172,6 +172,16 @@ def test_private_data_by_context(spark):
     assert found[20] == "email:12:25" and found[23] == "email:9:21" and found[21] == "" and found[3] == "email:13:35"
 
 
+def test_private_data_by_context_of_long_spans(spark):
+    """Seeds of several words, and seeds glued to other text, teach the word before them."""
+    rows = [(i, f"the phone: +1 (017) 555-77{i:02} rings") for i in range(12)]
+    rows += [(20 + i, f"a card# 4111 1111 1111 1111, or e-mail <mailto:user{i}@mail.example.com> now") for i in range(12)]
+    rows += [(50, "my phone: 555-7713 and 42"), (51, "an e-mail bob@localhost"), (52, "the 77 rings"), (53, "\ue120\ue355 phone: x7")]
+    found = dict(got(pii.report(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "spans"))
+    assert found[50] == "phone:10:18" and found[51] == "email:10:23" and found[52] == "" and found[53] == "phone:10:12"
+    assert found[3] == "phone:11:28" and found[25] == "email:47:69,card:8:27"
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     vectors = rng.standard_normal((300, 24)).astype(np.float32)
