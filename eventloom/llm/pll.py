@@ -8,9 +8,11 @@ choice at each node. A document's score is the sum of the conditional log-probab
 1. The words of all documents are counted (a grouped sum over all distinct words). Every word counted ``LEAST`` times or
    more is a token of its own; the others of a group share one leaf of its tree. The trees are Huffman trees of the
    counts, so the cost of a word grows with the logarithm of the vocabulary, and a word starts with its share of its group.
-2. The network starts from a fit to at most ``WARM_DOCS`` documents, drawn by a hash of the text. Then each task trains
-   it on all windows of all its documents, and the results are averaged: the layers weighted by their windows, the rows
-   of a word or node by how often a task has met them, in integer sums that do not depend on the order of tasks.
+2. The network starts from a fit to at most ``WARM_DOCS`` distinct texts, drawn by a hash, which one task makes. From
+   there, one distinct text in ``WARM_SHARE`` (a sample that grows with the corpus) is dealt to tasks of about
+   ``WARM_DOCS`` each. Then each task trains on all windows of all its documents. After each step the results are
+   averaged: the layers weighted by their windows, the rows of a word or node by how often a task has met them, in
+   integer sums that do not depend on the order of tasks.
 3. Every document is scored; nothing but ids and scores leaves the tasks.
 
 The model grows with the vocabulary: 29 numbers for each word. Driver and tasks hold it whole.
@@ -44,7 +46,7 @@ PADDING = CLASSES * MEMBERS
 FIRST = PADDING + 1  # token of the first word that has a leaf in a tree
 EMBED, HIDDEN = 12, 16
 BATCH = 8192
-WARM_DOCS = 1000
+WARM_DOCS, WARM_SHARE = 1000, 32
 UNIT = 1 << 20
 TAIL_RATE = 0.02
 _CHUNK = 4096
@@ -391,7 +393,7 @@ def _train(model, rate: float, epochs: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, lookup = Trainer(model.value.flat, rate, model.value.tail), Vocabulary(model.value.words)
         if epochs > 1:
-            batches = list(batches) * epochs  # only for the bounded warm-up
+            batches = list(batches) * epochs  # only for the warm-up, of a bounded number of texts in a task
         for batch in batches:
             for block in _blocks(batch.column("text")):
                 trainer.feed(*lookup.windows(block))
@@ -446,18 +448,29 @@ def _average(rows: DataFrame, otherwise: Model) -> Model:
     return out
 
 
+def warm_texts(slim: DataFrame) -> list[DataFrame]:
+    """Distinct texts to start from: a first sample for one task and, in a large corpus, one that grows with it."""
+    hashed = slim.select("text", F.xxhash64("text").alias("h"))
+    n = hashed.select("h").distinct().count()
+    # Twice as many are drawn as wanted, so that ordering them takes little of each task, whatever the corpus.
+    step = max(1, n // (2 * WARM_DOCS))
+    drawn = hashed.where(F.pmod("h", F.lit(step)) == 0).distinct()
+    out = [drawn.orderBy("h", "text").limit(WARM_DOCS).select("text").repartition(1)]
+    if n > WARM_SHARE * WARM_DOCS:
+        some = hashed.where(F.pmod("h", F.lit(WARM_SHARE)) == WARM_SHARE - 1).distinct()
+        out.append(some.repartition(n // (WARM_SHARE * WARM_DOCS), "h").sortWithinPartitions("h", "text").select("text"))
+    return out
+
+
 def train(docs: DataFrame) -> Model:
     """A model of all documents."""
     slim = docs.where("text is not null").select("text")
     words, tail = vocabulary(slim)
+    model = Model(words, start(), tail)
     send = docs.sparkSession.sparkContext.broadcast
-    first = Model(words, start(), tail)
-    # Twice as many are drawn as wanted, so that ordering them takes little of each task, whatever the corpus.
-    step = max(1, slim.count() // (2 * WARM_DOCS))
-    drawn = slim.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
-    warm = drawn.orderBy(F.xxhash64("text"), "text").limit(WARM_DOCS).repartition(1)
-    warmed = _average(warm.mapInArrow(_train(send(first), 0.02, epochs=2), _ROWS), first)
-    return _average(slim.mapInArrow(_train(send(warmed), 0.004), _ROWS), warmed)
+    for texts, rate in zip(warm_texts(slim), (0.02, 0.01), strict=False):
+        model = _average(texts.mapInArrow(_train(send(model), rate, epochs=2), _ROWS), model)
+    return _average(slim.mapInArrow(_train(send(model), 0.004), _ROWS), model)
 
 
 def _score(model):

@@ -340,3 +340,17 @@ def test_pseudo_likelihood_tells_frequent_words_apart(spark):
             moved.node[ids[k], pll.HIDDEN] += step
             ends.append(pll.Network(model.flat, moved).run(tokens, around).astype(np.float64).sum())
         assert abs((ends[0] - ends[1]) / 2e-2 - slope[k, pll.HIDDEN]) < 0.05 * max(1, abs(slope[k, pll.HIDDEN]))
+
+
+def test_pseudo_likelihood_warms_up_on_distinct_texts(spark, monkeypatch):
+    texts = [("one large group of copies",)] * 3000 + [(f"text {i}",) for i in range(700)]
+    table = spark.createDataFrame(texts, "text string")
+    first = [r.text for d in pll.warm_texts(table) for r in d.collect()]
+    assert len(first) == len(set(first)) == 701
+    monkeypatch.setattr(pll, "WARM_DOCS", 2)
+    sizes = []
+    for n in (150, 700):
+        few, more = pll.warm_texts(table.where(F.col("text").startswith("text")).limit(n))
+        assert few.count() <= 2
+        sizes.append(more.count())
+    assert sizes[1] > sizes[0] and sizes[1] > 10
