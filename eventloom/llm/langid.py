@@ -31,6 +31,7 @@ DIM = 1024
 N = 3
 UNIT = 1 << 20
 UNKNOWN = "und"
+SHORT = 24
 #: A model holds 8 KB for each language; more languages than this are refused rather than sent to every task.
 MAX_LANGUAGES = 4096
 _GAP = 0x20
@@ -155,8 +156,14 @@ def held_out_prediction(docs: DataFrame, id_col: str = "doc_id", held: int = 2)
     return predict(marked, model, carried=[id_col, "held_out"])
 
 
-def accepted(docs: DataFrame, least: float = 1 / DIM**0.5) -> DataFrame:
-    """Documents in a learned language: not ``und``, and nearer to a prototype than random vectors are to each other."""
+def accepted(docs: DataFrame, least: float = 4 / DIM**0.5, least_short: float = 1 / DIM**0.5) -> DataFrame:
+    """Documents in a learned language: not ``und``, and nearer to a prototype than random vectors are to any.
+
+    Cosines of unrelated vectors have a deviation of ``1 / DIM**0.5``. Texts of fewer than ``SHORT`` letters hold too few
+    trigrams to be near a prototype even in a learned language; they have a bound of their own, which half of the short
+    texts in other scripts pass.
+    """
     model = train(docs)
     found = predict(docs, model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(docs.columns)
+    short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < SHORT
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.when(short, least_short).otherwise(least))).select(docs.columns)

@@ -354,3 +354,12 @@ def test_pseudo_likelihood_warms_up_on_distinct_texts(spark, monkeypatch):
         assert few.count() <= 2
         sizes.append(more.count())
     assert sizes[1] > sizes[0] and sizes[1] > 10
+
+
+def test_unlearned_scripts_are_not_accepted(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, lang, 60), lang) for i, lang in enumerate(["en", "de", "fr"] * 20)]
+    other = ["".join(chr(rng.randrange(0x10D0, 0x10F0)) if rng.random() > 0.15 else " " for _ in range(300)) for _ in range(60)]
+    rows += [(100 + i, text, None) for i, text in enumerate(other)] + [(200, "the water", None), (201, "der fluss", None)]
+    kept = {r.doc_id for r in langid.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {*range(60), 200, 201}
