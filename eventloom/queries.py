@@ -364,8 +364,8 @@ def bloom_no_false_negatives(spark, sf_dir):
 @registered("minhash_self", "SELECT 1.0::DOUBLE AS similarity")
 def minhash_self(spark, sf_dir):
     words = _document_words(spark, sf_dir)
-    halves = stats.minhash(words.withColumn("half", F.pmod("doc_id", F.lit(2))), ["half"], 64)
-    return stats.similarity(stats.minhash(words, slots=64), stats.merge_minhash(halves))
+    halves = stats.minhash(words.withColumn("half", F.pmod("doc_id", F.lit(2))), ["half"])
+    return stats.similarity(stats.minhash(words), stats.merge_minhash(halves))
 
 
 # Syslog

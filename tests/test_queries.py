@@ -33,3 +33,26 @@ def test_filters_reach_the_scan(spark):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,error)" in text and "GreaterThan(value,100.0)" in text
     assert "props" not in text.split("ReadSchema")[1]
+
+
+def test_minhash_of_different_sets(spark):
+    """The query's slots are the operator's own; similarities of different sources are near the exact Jaccard ones."""
+    import inspect
+
+    from pyspark.sql import functions as F
+
+    from eventloom import queries
+    from eventloom.operators import stats
+
+    assert "64" not in inspect.getsource(queries.minhash_self)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null")
+    words = docs.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("term")).distinct()
+    sets = {}
+    for r in words.collect():
+        sets.setdefault(r.lang, set()).add(r.term)
+    names = sorted(sets)[:3]
+    signatures = {x: stats.minhash(words.where(F.col("lang") == x)).cache() for x in names}
+    assert len(names) > 1
+    for a, b in zip(names, names[1:], strict=False):
+        exact = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert 0 < exact < 1 and abs(stats.similarity(signatures[a], signatures[b]).first()[0] - exact) < 0.0625
