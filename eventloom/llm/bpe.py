@@ -18,18 +18,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import pretoken
+from . import pretoken, textblock
 
 #: Words remembered by a worker before it starts afresh; bounds memory, not results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 PAIR_CACHE = 2_000_000
 
 
@@ -163,66 +162,86 @@ class PrefixTable:
         return len(self.data) - start
 
 
-_coders: dict[bytes, tuple[PrefixCoder, dict[bytes, tuple]]] = {}
+class Codebook:
+    """The distinct words that a worker has encoded: their ids, and the ids in decimal, end to end in flat arrays.
+
+    It starts afresh beyond CACHE_WORDS words, which bounds its memory and changes no result.
+    """
+
+    def __init__(self, encode, with_decimals: bool):
+        self.encode, self.with_decimals = encode, with_decimals  # encode: from an array of words to lists of ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids, self.decimals = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.id_bounds, self.decimal_bounds = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The place of each word; words not met before are encoded."""
+        keys = words.to_pylist()
+        known = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(known < 0)
+        if len(self.number) + len(missing) > CACHE_WORDS:
+            self.clear()
+            missing = np.arange(len(keys))
+        if len(missing):
+            known[missing] = np.arange(len(self.number), len(self.number) + len(missing))
+            self.number.update(zip([keys[i] for i in missing.tolist()], known[missing].tolist(), strict=True))
+            found = self.encode(words.take(pa.array(missing)))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+            self.id_bounds = np.append(self.id_bounds, self.id_bounds[-1] + np.cumsum(sizes))
+            if self.with_decimals:
+                texts = [("".join([f" {i}" for i in ids])).encode() for ids in found]
+                self.decimals = np.concatenate([self.decimals, np.frombuffer(b"".join(texts), np.uint8)])
+                self.decimal_bounds = np.append(self.decimal_bounds, self.decimal_bounds[-1] + np.cumsum([len(t) for t in texts]))
+        return known
+
+    def of(self, block: textblock.Block) -> np.ndarray:
+        """The place of each word of a block."""
+        codes, words = block.distinct()
+        return self.numbers(words)[codes]
+
+    def id_rows(self, places: np.ndarray, block: textblock.Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in text order, and the bounds of the block's documents in them."""
+        ids, ends = textblock.gathered(self.ids, self.id_bounds[places], self.id_bounds[places + 1])
+        return ids, ends[block.bounds]
+
+    def decimal_rows(self, places: np.ndarray, block: textblock.Block) -> tuple[np.ndarray, np.ndarray]:
+        """The same in decimal, with a space before each id."""
+        data, ends = textblock.gathered(self.decimals, self.decimal_bounds[places], self.decimal_bounds[places + 1])
+        return data, ends[block.bounds]
+
 
+_coders: dict[bytes, tuple[PrefixCoder, Codebook]] = {}
 
-def coder_of(raw: bytes) -> tuple[PrefixCoder, dict[bytes, tuple]]:
+
+def coder_of(raw: bytes) -> tuple[PrefixCoder, Codebook]:
     """The coder of a rank file and the words it has encoded, kept for the worker's life."""
     key = hashlib.sha256(raw).digest()
     if key not in _coders:
-        _coders[key] = PrefixCoder(load_ranks(raw)), {}
+        coder = PrefixCoder(load_ranks(raw))
+        _coders[key] = coder, Codebook(lambda words: [coder.encode(w) for w in words.to_pylist()], True)
     return _coders[key]
 
 
-def distinct_words(block) -> tuple[np.ndarray, list[bytes]]:
-    """The distinct words of a block, and for each word the number of its distinct word."""
-    codes, found = pd.factorize(block.hashes())
-    first = np.zeros(len(found), np.int64)
-    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    data = block.data.tobytes()
-    return codes, [data[s:e] for s, e in zip(block.starts[first].tolist(), block.ends[first].tolist(), strict=True)]
-
-
-def spread(codes: np.ndarray, each: list) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in text order, and the running end of each word's ids. ``each``: ids by distinct word."""
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter(chain.from_iterable(each), np.int64, int(sizes.sum()))
-    at = (np.cumsum(sizes) - sizes)[codes]
-    sizes = sizes[codes]
-    ends = np.cumsum(sizes)
-    return flat[np.repeat(at - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
-
-
-def encode_blocks(texts: pa.Array, raw: bytes) -> Iterator[tuple]:
-    """(block, ids, id bounds of its documents, decimal strings by distinct word, number of each word's) by slice."""
-    coder, cache = coder_of(raw)
-    for block in pretoken.blocks(texts):
-        codes, words = distinct_words(block)
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        got = []
-        for word in words:
-            known = cache.get(word)
-            if known is None:
-                ids = coder.encode(word)
-                known = cache[word] = (ids, "".join([f" {i}" for i in ids]))
-            got.append(known)
-        ids, ends = spread(codes, [ids for ids, _ in got])
-        yield block, ids, np.concatenate([[0], ends])[block.bounds], [s for _, s in got], codes
-
-
-def _digests(raw: bytes, id_col: str):
+def _sha256s(data: np.ndarray, bounds: np.ndarray, skip: int) -> list[str]:
+    at = bounds.tolist()
+    return [hashlib.sha256(data[min(a + skip, b) : b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+
+
+def _digests(raw: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _ = coder_of(raw)
+        coder, book = coder_of(raw)
         for batch in batches:
-            keys = batch.column(id_col)
-            for block, ids, bounds, strings, codes in encode_blocks(batch.column("text"), raw):
-                data, ends = coder.decode_flat(ids)
-                cuts = np.concatenate([[0], ends])[bounds].tolist()
-                words, at = block.bounds.tolist(), codes.tolist()
-                shas = [hashlib.sha256("".join([strings[c] for c in at[a:b]])[1:].encode()).hexdigest() for a, b in zip(words, words[1:], strict=False)]
-                back = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([keys.slice(block.first, block.n_docs), pa.array(np.diff(bounds)), pa.array(shas), pa.array(back)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            keys = batch.column(0)
+            for block in pretoken.blocks(batch.column(1)):
+                places = book.of(block)
+                ids, bounds = book.id_rows(places, block)
+                back, ends = coder.decode_flat(ids)
+                arrays = [keys.slice(block.first, block.n_docs), pa.array(np.diff(bounds)), pa.array(_sha256s(*book.decimal_rows(places, block), 1)), pa.array(_sha256s(back, np.concatenate([[0], ends])[bounds], 0))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -239,12 +258,15 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
     keep = [c for c in df.columns if c != ids_col]
 
     def run(batches):
+        _, book = coder_of(raw)
         for batch in batches:
-            for block, ids, bounds, _, _ in encode_blocks(batch.column(text_col), raw):
+            for block in pretoken.blocks(batch.column(text_col)):
+                ids, bounds = book.id_rows(book.of(block), block)
                 arrays = [batch.column(c).slice(block.first, block.n_docs) for c in keep]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=[*keep, ids_col])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], names=[*keep, ids_col])
 
-    return df.select(keep).mapInArrow(run, T.StructType([*df.select(keep).schema, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    source = df.select(list(dict.fromkeys([*keep, text_col])))
+    return source.mapInArrow(run, T.StructType([*df.select(keep).schema, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -264,6 +286,6 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
 def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every text in one pass: id, n_tokens, ids_sha256, decoded_sha256. No shuffle."""
     raw = _share(df, vocabulary)
-    slim = df.select(df[id_col], df[text_col].alias("text"))
-    kind = slim.schema[id_col].dataType.simpleString()
-    return slim.mapInArrow(_digests(raw, id_col), f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    slim = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(_digests(raw), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)

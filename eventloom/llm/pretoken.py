@@ -52,7 +52,7 @@ def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), np.append(at, len(data))
 
 
-def blocks(texts: pa.Array, limit: int = 1 << 19) -> Iterator[Block]:
+def blocks(texts: pa.Array, limit: int = 1 << 21) -> Iterator[Block]:
     """One :class:`Block` for each bounded slice; its words are pre-tokens and cover every byte."""
     data, offsets = as_bytes(texts)
     for at, to in slices(offsets, limit):

@@ -10,16 +10,21 @@ the batch; one document is never cut, so the bound is exceeded only by a documen
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_FACTORS = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes above which a range is hashed by BLAKE2b.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,27 +41,37 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_ROOT)) ^ np.uint64(seed * 0xD1342543DE82EF95 & _MASK))
 
 
-def _geometric(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = base & _MASK
-    return np.multiply.accumulate(out)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, kept for the worker's life."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        _powers = _geometric(_ROOT, size), _geometric(pow(_ROOT, -1, 1 << 64), size)
-    return _powers
+def _step(state: np.ndarray, value: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """Takes 64 more bits into a state; not linear in either."""
+    state = (state ^ value) * factor
+    state ^= state >> np.uint64(32)
+    return state
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every ``values[start:end]``; position-independent, so equal contents hash alike."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of every ``values[start:end]``, whatever stands around them.
+
+    Up to LONG bytes are taken in eights into two chained states; longer ranges are hashed by BLAKE2b.
+    """
+    padded = np.concatenate([values, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(values) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    sizes = (ends - starts).astype(np.int64)
+    a, b = np.full(len(starts), _ROOT, np.uint64), sizes.astype(np.uint64)
+    todo, at, left = np.arange(len(starts)), starts.astype(np.int64), np.minimum(sizes, LONG)
+    while len(todo):
+        value = eights[at] & _KEEP[np.minimum(left, 8)]
+        if len(todo) == len(a):
+            a = _step(a, value, _FACTORS[0])
+            b = _step(b, a, _FACTORS[1])
+        else:
+            a[todo] = _step(a[todo], value, _FACTORS[0])
+            b[todo] = _step(b[todo], a[todo], _FACTORS[1])
+        more = np.flatnonzero(left > 8)
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    out = mix(a ^ (b << np.uint64(23)) ^ (b >> np.uint64(41)))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
@@ -64,12 +79,19 @@ def gram_hashes(hashes: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    factors, out = stream(seed, n) | np.uint64(1), np.zeros(m, np.uint64)
+    out = np.full(m, seed * _ROOT & _MASK, np.uint64)
     for j in range(n):
-        out += hashes[j : j + m] * factors[j]
+        out = _step(out, hashes[j : j + m], _FACTORS[j & 1])
     return mix(out)
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the ranges end to end, and their ``n + 1`` bounds."""
+    sizes = ends - starts
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    return data[np.repeat(starts - bounds[:-1], sizes) + np.arange(int(bounds[-1]))], bounds
+
+
 @dataclass
 class Block:
     first: int  # index of its first document in the batch
@@ -88,15 +110,25 @@ class Block:
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
+    def distinct(self) -> tuple[np.ndarray, pa.Array]:
+        """For each word the number of its distinct word, and those: equal by their bytes, not by a hash."""
+        if len(self.starts) and (self.starts[1:] == self.ends[:-1]).all():
+            data, bounds = self.data, np.append(self.starts, self.ends[-1])
+        else:
+            data, bounds = gathered(self.data, self.starts, self.ends)
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+        found = pc.dictionary_encode(words)
+        return np.asarray(found.indices), found.dictionary
+
     def docs_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), np.diff(self.bounds))
 
 
 def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string array, end to end, and the ``n + 1`` offsets of its values."""
+    """The bytes of a string or binary array, end to end, and the ``n + 1`` offsets of its values."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     if ends[-1] == ends[0]:

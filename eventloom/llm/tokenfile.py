@@ -9,8 +9,8 @@ the row in its shard. The ids are integer run-length encoded in stripes; row ind
 id let a reader skip stripes and row groups (:func:`lookup`). Offsets in the whole sequence are the sums of the shards
 before, taken from the ``n_tokens`` column alone.
 
-Texts are encoded by a ``tokenizers`` file with special strings as ordinary text. Merges never cross pre-tokens, so each
-distinct pre-token of a worker is given to the library once.
+Texts are encoded by a ``tokenizers`` file as the library does by default. Merges never cross pre-tokens, so each distinct
+pre-token of a worker is given to the library once; a text that holds one of the file's added tokens goes to it whole.
 
 Edge cases: null or empty text holds the end id only; a null document id sorts first; repeated ids are kept, ordered by
 text; an empty table gives an empty directory listing that reads as no rows; other columns are not written.
@@ -25,14 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from . import pretoken
-from .bpe import CACHE_WORDS, distinct_words, spread
+from . import pretoken, textblock
+from .bpe import Codebook
 
 #: Up to this many shards their offsets are broadcast (16 bytes each), beyond it they are joined by a shuffle.
 BROADCAST_SHARDS = 500_000
@@ -44,15 +45,27 @@ def schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields])
 
 
-def _letters() -> dict[int, int]:
-    """The letter that byte-level tokenizers write for each byte: itself if visible, else the next from U+0100 on."""
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """The letters that byte-level tokenizers write for the 256 bytes, in UTF-8 end to end, and their bounds.
+
+    A visible byte stands for itself, the others for the letters from U+0100 on.
+    """
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in visible]
-    return {b: 256 + i for i, b in enumerate(hidden)}
+    letters = [chr(b if b in visible else 256 + hidden.index(b)).encode() for b in range(256)]
+    return np.frombuffer(b"".join(letters), np.uint8), np.cumsum([0, *map(len, letters)])
+
+
+def _lettered(words: pa.Array) -> list[str]:
+    """Byte words as the tokenizer's model sees them."""
+    data, bounds = textblock.as_bytes(words)
+    letters, edges = _letters()
+    out, ends = textblock.gathered(letters, edges[data], edges[data.astype(np.int64) + 1])
+    return pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(ends[bounds]), pa.py_buffer(out)]).to_pylist()
 
 
 def _tokenizer(definition: str) -> tuple:
-    """(a function from pre-tokens to their ids, the ids of known pre-tokens), kept for the worker's life.
+    """(the library's tokenizer, its added tokens, the codebook of known pre-tokens), kept for the worker's life.
 
     Pre-tokens go straight to the library's model where the file asks for nothing but the byte letters before it.
     """
@@ -61,32 +74,36 @@ def _tokenizer(definition: str) -> tuple:
         from tokenizers import Tokenizer
 
         made, found = Tokenizer.from_str(definition), json.loads(definition)
-        made.encode_special_tokens = True
-        before, model, letters = found.get("pre_tokenizer") or {}, made.model, _letters()
+        before, model = found.get("pre_tokenizer") or {}, made.model
         if found.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space"):
-            encode = lambda words: [[t.id for t in model.tokenize(w.decode("latin-1").translate(letters))] for w in words]
+            encode = lambda words: [[t.id for t in model.tokenize(w)] for w in _lettered(words)]
         else:
-            encode = lambda words: [e.ids for e in made.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        _tokenizers[definition] = encode, {}
+            encode = lambda words: [e.ids for e in made.encode_batch([w.decode() for w in words.to_pylist()], add_special_tokens=False)]
+        _tokenizers[definition] = made, [t["content"] for t in found.get("added_tokens", [])], Codebook(encode, False)
     return _tokenizers[definition]
 
 
 def _encoder(definition: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cache = _tokenizer(definition)
+        library, added, book = _tokenizer(definition)
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            keys = batch.column(0)
-            for block in pretoken.blocks(batch.column(1)):
-                codes, words = distinct_words(block)
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                missing = [w for w in words if w not in cache]
-                cache.update(zip(missing, encode(missing), strict=True))
-                ids, ends = spread(codes, [cache[w] for w in words])
-                bounds = np.concatenate([[0], ends])[block.bounds]
+            keys, texts = batch.column(0), batch.column(1)
+            whole = np.zeros(len(texts), bool)
+            for content in added:
+                whole |= np.asarray(pc.fill_null(pc.match_substring(texts, content), False))
+            plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+            for block in pretoken.blocks(plain):
+                ids, bounds = book.id_rows(book.of(block), block)
                 ids = np.insert(ids, bounds[1:], end_id)
                 bounds = bounds + np.arange(len(bounds))
+                apart = np.flatnonzero(whole[block.first : block.first + block.n_docs])
+                if len(apart):
+                    own = np.split(ids, bounds[1:-1])
+                    for i in apart.tolist():
+                        found = library.encode(texts[block.first + i].as_py(), add_special_tokens=False).ids
+                        own[i] = np.array([*found, end_id], np.int32)
+                    ids, bounds = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
                 sizes = np.diff(bounds)
                 arrays = [keys.slice(block.first, block.n_docs), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(before + bounds[:-1]), pa.array(sizes)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])

@@ -38,7 +38,6 @@ def codec(docs):
 
 def token_files(docs):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     at, out = 0, []
     for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
