@@ -31,12 +31,12 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: shared.Work) -> DataFrame:
     """``edges(a, b)`` to ``node, component``: the smallest node reachable. Nodes without edges are absent."""
-    now = shared.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = work.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _print(now)
     while before[0]:
-        now = shared.written(_small(_large(now)), "edges")
+        now = work.written(_small(_large(now)), "edges")
         after = _print(now)
         if after == before:
             break

@@ -1,25 +1,26 @@
-"""Exact n-gram Jaccard join with a light and a heavy side.
+"""Exact n-gram Jaccard join, size-aware: subsets for light sets, inverted lists for heavy ones.
 
-Two sets link when ``den * |A & B| >= num * |A | B|``. A set's cost decides its side (:func:`plan`):
+Two sets link when ``den * |A & B| >= num * |A | B|``. A set's cost decides its side (:func:`planned`): what its subsets
+cost against what its entries in inverted lists cost, with the length of the lists as counted in the corpus.
 
 * **light**: a linked partner lacks at most ``d`` of its ``n`` elements, so all subsets of ``n - d .. n`` elements are
   enumerated; linked sets share the key of their intersection. Within a key the smallest set links with every set that
-  has any link there, so a star around it is complete, and the sizes alone decide: nothing needs checking.
-* **heavy**: too many subsets. The element space is dealt by hash into ``m`` blocks and each set is entered in one
-  inverted list for each of its blocks, keyed by the block's whole content. Linked sets differ in fewer elements than
-  there are blocks, so they agree on a block. (Lists of single elements would put all documents that share a passage
-  into one list; a block also holds what is peculiar to the document.) ``m`` depends on the size class; a set enters
-  the lists of its own class and, if it may link with larger sets, those of the next. Elements found in many documents
-  are left out of the blocks where the rest suffices (:func:`entries`).
-
-Candidates of the lists are never enumerated pairwise. In each list all are held against one pivot; what links is
-united. While that shrinks the lists with several components, further pivots follow in other random orders; then the
-pairs across components are held against each other, whatever their number, if their parity sketches (bits that
-bound the difference of two sets from below) allow a link. Candidates are checked on the whole sets, after a bound from
-the element counts in 64 buckets. So no link between different texts is lost, and the rows stay near the number of list
-entries.
-
-Within a task only the first of equal sets makes entries; equal sets are united by a grouped minimum.
+  has any link there, so a star around it is complete.
+* **heavy**: each set enters the inverted lists of its first elements in one global order, as many as it may lack and one
+  more. Linked sets have their first common element among these in both. Elements of many documents come last in the
+  order, the others by their hash, so that a passage that many share fills no list as long as the rest suffices. Lists
+  of one set are dropped before anything else is brought to them.
+
+Equal texts make one entry: they are united by a grouped minimum. Candidates of the lists are never enumerated pairwise:
+
+1. In each list all are held against its smallest set, and what links is united (:mod:`components`).
+2. Lists that still hold several components are dealt to tasks in blocks of bounded size. A task compares parity
+   sketches (bits that bound the difference of two sets from below) across components only, and gives each set's nearest
+   candidates. What links is united, twice.
+3. Then all pairs across components that the sketches allow are given.
+
+Every candidate is checked on the words of both texts, so no hash decides a link, and no link between different
+components is lost.
 
 Edge cases: null or empty texts have no elements and link with nothing (their component is their own id); texts of
 fewer than ``k`` words have their whole sequence as the single element; rows of one id are one document; rows with a
@@ -28,6 +29,7 @@ null id get a null component and link with nothing; an empty table gives no rows
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -37,67 +39,75 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import shared, textblock
 from .components import components
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
-BUCKETS = 64
 #: 64-bit words of a set's parity sketch: enough to tell sets of a few thousand elements just below the threshold.
 PARITY_WORDS = 32
-#: Elements in at least this share of a task's documents (and in 12) may be left out of the blocks; any choice is right.
-FREQUENT_SHARE = 0.0005
-LEAST_FREQUENT = 12
+#: Only elements whose hash is below this are counted: those that come first in a set.
+COUNTED = np.uint64(1 << 62)
+#: Elements found this often in a task are reported; those found this often in all count as frequent. Any choice is right.
+LEAST_IN_TASK, LEAST_FREQUENT = 3, 16
 MAX_FREQUENT = 1_000_000
+#: Elements below this hash are reported whatever their count: the sample that gives the mean length of the lists.
+SAMPLED = np.uint64(1 << 52)
+#: What holding a candidate against a set costs, in entries of a list.
+CANDIDATE = 8
 #: Id sets of up to this many rows (8 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Sets of a list that meet in a task at once, and rows in a task's group as a mean.
+LIST_BLOCK, BUNDLE = 2048, 20_000
+NEAREST_TURNS, NEAREST = 2, 2
+_CHUNK_PAIRS = 1 << 19
+_CHUNK_BYTES = 2 << 20
 
 
 class Plan:
-    """Sizes, classes and block counts for one threshold ``num / den``."""
-
-    def __init__(self, num: int, den: int, top: int = 1 << 26):
-        self.num, self.den = num, den
-        light = 1
-        while self.light_cost(light + 1) <= self.heavy_cost(light + 1):
-            light += 1
-        self.light = light
+    """Bounds for one threshold ``num / den``; sets of up to ``light`` elements make subsets."""
+
+    def __init__(self, num: int, den: int, light: int = 0):
+        self.num, self.den, self.light = num, den, light
         self.least_heavy = max(1, -(-num * (light + 1) // den))
-        lows = [self.least_heavy]
-        while lows[-1] < top:
-            lows.append(max(lows[-1] + 1, -(-lows[-1] * den * den // (num * num))))
-        self.lows = np.array(lows)
-        self.blocks = []
-        for low, after in zip(lows, lows[1:], strict=False):
-            differ = 2 * (after - 1) * (den - num) // (den + num)
-            # some spare blocks, so that sets with a few empty blocks need not enter the lists of empty blocks
-            self.blocks.append((differ + 1, 2 + math.ceil(4 * (differ + 1) * math.exp(-low / (differ + 1)))))
 
     def lacking(self, n: int) -> int:
+        """How many elements of a set of ``n`` a linked set may lack."""
         return n - -(-self.num * n // self.den)
 
+    def common(self, a, b):
+        """The least overlap of linked sets of these sizes."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
     def light_cost(self, n: int) -> int:
         return sum(math.comb(n, j) for j in range(self.lacking(n) + 1))
 
-    def heavy_cost(self, n: int) -> int:
-        """Entries in two classes, and reading the set once to check a candidate."""
-        return 2 * (2 * n * (self.den - self.num) // (self.den + self.num) + 1) + n
+    def heavy_cost(self, n: int, others: float) -> float:
+        """Entries in lists that hold ``others`` sets besides, as a mean."""
+        return (self.lacking(n) + 1) * (1 + CANDIDATE * others)
+
+
+def planned(num: int, den: int, others: float, most: int = 24) -> Plan:
+    """The plan whose light sets are those that cost less as subsets."""
+    plan, light = Plan(num, den), 0
+    while light < most and plan.light_cost(light + 1) <= plan.heavy_cost(light + 1, others):
+        light += 1
+    return Plan(num, den, light)
+
+
+def _blocks_of(texts, limit: int = textblock.SLICE_BYTES):
+    return textblock.blocks(texts, textblock.word_table(SEPARATORS), lower=True, limit=limit)
 
 
 def elements(block: textblock.Block, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct element hashes of each document."""
     words = block.hashes()
+    grams = textblock.gram_hashes(words, k)
     for a, b in zip(block.bounds.tolist(), block.bounds[1:].tolist(), strict=False):
-        own = words[a:b]
-        if len(own) >= k:
-            yield np.unique(textblock.gram_hashes(own, k))
+        if b - a >= k:
+            yield np.unique(grams[a : b - k + 1])
         else:
-            yield textblock.gram_hashes(own, len(own), seed=2 + len(own)) if len(own) else own
-
-
-def _blocks_of(texts):
-    return textblock.blocks(texts, textblock.word_table(SEPARATORS), lower=True)
+            yield textblock.gram_hashes(words[a:b], b - a, seed=2 + b - a) if b > a else words[a:a]
 
 
 def _subsets(u: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -112,82 +122,65 @@ def _subsets(u: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return textblock.mix(sums ^ (sizes_.astype(np.uint64) << np.uint64(40))), sizes_
 
 
-def _lists(u: np.ndarray, n: int, kind: int, plan: Plan) -> list[np.ndarray]:
-    """Keys of the blocks of the (remaining) elements ``u`` of a set of size ``n``."""
-    own = int(np.searchsorted(plan.lows, n, side="right")) - 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textblock.mix(u))]) if len(u) else np.zeros(1, np.uint64)
-    out = []
-    for c in (own, own + 1):
-        if c > own and n * plan.den < plan.num * int(plan.lows[c]):
-            break
-        needed, spare = plan.blocks[c]
-        m = needed + spare
-        edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
-        cut = np.concatenate([[0], np.searchsorted(u, edges), [len(u)]])
-        number = np.arange(m, dtype=np.uint64) + np.uint64((c << 24) | (kind << 40) | (1 << 60))
-        keys = textblock.mix((sums[cut[1:]] - sums[cut[:-1]]) ^ textblock.mix(number))
-        full = cut[1:] > cut[:-1]
-        out.append(keys if m - full.sum() > spare else keys[full])  # else a non-empty block agrees as well
-    return out
+def first_elements(u: np.ndarray, frequent: np.ndarray, plan: Plan) -> np.ndarray:
+    """The elements whose lists a heavy set enters, in the global order."""
+    wanted = plan.lacking(len(u)) + 1
+    counted = u[: np.searchsorted(u, COUNTED)]
+    if not len(frequent) or not len(counted):
+        return u[:wanted]
+    often = frequent[np.minimum(np.searchsorted(frequent, counted), len(frequent) - 1)] == counted
+    if not often[:wanted].any():
+        return u[:wanted]
+    return np.concatenate([counted[~often], u[len(counted) :], counted[often]])[:wanted]
 
 
-def entries(u: np.ndarray, frequent: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(key, size of the shared subset; 0 in lists of blocks) of one set.
+def _occurrences(k: int):
+    """Counts of elements in a task: those found often, and all of the sample."""
 
-    A heavy set enters the lists of its rarer elements if they are at least half of it, and the lists of all its
-    elements if they are less, or little enough more for a linked set to have less.
-    """
-    n = len(u)
-    keys, sizes = [], []
-    if n <= plan.light:
-        k, s = _subsets(u, plan)
-        keys.append(k)
-        sizes.append(s)
-    if n >= plan.least_heavy:
-        rare = u[frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] != u] if len(frequent) else u
-        lists = []
-        if 2 * len(rare) >= n:
-            lists += _lists(rare, n, 0, plan)
-        if 2 * len(rare) < n + 3 * n * (plan.den - plan.num) / plan.num + 2:
-            lists += _lists(u, n, 1, plan)
-        keys += lists
-        sizes += [np.zeros(len(x), np.int64) for x in lists]
-    return np.concatenate(keys), np.concatenate(sizes)
-
-
-def _frequent(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, counts, fresh, size, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, 0
+        kept, counts, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-        def compact(least):
+        def compact():
             values = np.concatenate([kept, *fresh])
             weights = np.concatenate([counts, np.ones(len(values) - len(kept), np.int64)])
-            order = np.argsort(values)
-            values, weights = values[order], weights[order]
-            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(weights, first) if len(first) else weights
-            many = sums >= least
-            return values[first][many], sums[many]
+            found, which = np.unique(values, return_inverse=True)
+            return found, np.bincount(which, weights, len(found)).astype(np.int64)
+
+        def rows(least: int):
+            sampled = kept < SAMPLED
+            chosen = (counts >= least) | sampled
+            return pa.RecordBatch.from_arrays([pa.array(kept[chosen].view(np.int64)), pa.array(counts[chosen]), pa.array(sampled[chosen])], names=["element", "n", "sampled"])
 
         for batch in batches:
             for block in _blocks_of(batch.column("text")):
-                own = list(elements(block, k))
-                docs += len(own)
-                size += sum(map(len, own))
-                fresh += own
-                if size > 4_000_000:
-                    (kept, counts), fresh, size = compact(max(2, docs * FREQUENT_SHARE / 4)), [], 0
-        values, sums = compact(max(LEAST_FREQUENT, docs * FREQUENT_SHARE))
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(sums)], names=["element", "n"])
+                grams = textblock.gram_hashes(block.hashes(), k)
+                inside = np.ones(len(grams), bool)  # no gram spans two documents
+                for j in range(1, k):
+                    edge = block.bounds[1:-1] - j
+                    inside[edge[(edge >= 0) & (edge < len(grams))]] = False
+                fresh.append(grams[inside & (grams < COUNTED)])
+                size += len(fresh[-1])
+                if size > 2_000_000:
+                    (kept, counts), fresh, size = compact(), [], 0
+                    if len(kept) > 3_000_000:  # bounds the task's memory
+                        yield rows(LEAST_IN_TASK)
+                        kept, counts = kept[:0], counts[:0]
+        kept, counts = compact()
+        yield rows(LEAST_IN_TASK)
 
     return run
 
 
-def frequent_elements(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted elements of many documents, from counts in all documents (lossy in each task; at most MAX_FREQUENT)."""
-    found = docs.select("text").mapInArrow(_frequent(k), "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "element").limit(MAX_FREQUENT).select("element").toArrow()
-    return np.sort(np.asarray(rows["element"].combine_chunks()).view(np.uint64))
+def counted(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """(sorted elements of many documents, how many other sets share an element that is not frequent, as a mean)."""
+    found = docs.select("text").mapInArrow(_occurrences(k), "element long, n long, sampled boolean")
+    work = shared.Work(docs.sparkSession)
+    found = work.written(found.groupBy("element", "sampled").agg(F.sum("n").alias("n")), "elements")
+    rows = found.where(F.col("n") >= LEAST_FREQUENT).orderBy(F.desc("n"), "element").limit(MAX_FREQUENT).select("element").toArrow()
+    rare = found.where(F.col("sampled") & (F.col("n") < LEAST_FREQUENT))
+    squares, total = rare.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+    work.clear()
+    return np.sort(np.asarray(rows["element"].combine_chunks()).view(np.uint64)), (squares / total - 1 if total else 0.0)
 
 
 def _signatures(k: int, plan: Plan, frequent):
@@ -197,187 +190,264 @@ def _signatures(k: int, plan: Plan, frequent):
             ids = batch.column("doc_id")
             known = np.asarray(ids.is_valid())
             for block in _blocks_of(batch.column("text")):
-                n, one, two, keys, sizes = [], [], [], [], []
+                cuts = np.append(block.starts, len(block.data))[block.bounds].tolist() if len(block.starts) else [0] * (block.n_docs + 1)
+                n, prints, firsts, keys, sizes = [], [], [], [], []
                 for i, u in enumerate(elements(block, k)):
                     n.append(len(u))
-                    one.append(int(textblock.mix(u ^ np.uint64(1)).sum(dtype=np.uint64)) if len(u) else 0)
-                    two.append(int(textblock.mix(u ^ np.uint64(2)).sum(dtype=np.uint64)) if len(u) else 0)
-                    mark = (one[-1], two[-1], len(u))
-                    if not len(u) or mark in seen or not known[block.first + i]:
-                        keys.append(None)
-                        sizes.append(None)
+                    prints.append(hashlib.blake2b(block.data[cuts[i] : cuts[i + 1]].tobytes().strip(SEPARATORS), digest_size=16).digest())
+                    firsts.append(None)
+                    keys.append(None)
+                    sizes.append(None)
+                    if not len(u) or prints[-1] in seen or not known[block.first + i]:
                         continue
-                    seen.add(mark)
-                    a, b = entries(u, common, plan)
-                    keys.append(a.view(np.int64))
-                    sizes.append(b.astype(np.int16) if b.any() else None)
-                arrays = [ids.slice(block.first, block.n_docs), pa.array(n, pa.int32())]
-                arrays += [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int16()))], names=["doc_id", "n", "h1", "h2", "keys", "shared"])
+                    seen.add(prints[-1])
+                    firsts[-1] = first_elements(u, common, plan).view(np.int64) if len(u) >= plan.least_heavy else np.zeros(0, np.int64)
+                    if len(u) <= plan.light:
+                        a, b = _subsets(u, plan)
+                        keys[-1], sizes[-1] = a.view(np.int64), b.astype(np.int32)
+                arrays = [ids.slice(block.first, block.n_docs), pa.array(n, pa.int32()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "h", "firsts", "subsets", "sizes"])
 
     return run
 
 
+_SIGNATURES = "doc_id long, n int, h binary, firsts array<long>, subsets array<long>, sizes array<int>"
+
+
 def _parity(u: np.ndarray) -> np.ndarray:
     """Whether an odd number of elements falls into each bucket, as bits. Sets differ in as many elements at least as
     their bits differ."""
     bits = 64 * PARITY_WORDS
     odd = np.bincount((u >> np.uint64(30)) & np.uint64(bits - 1), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sets(k: int):
+def _sketched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks_of(batch.column("text")):
                 own = list(elements(block, k))
-                counts = [np.minimum(np.bincount((u >> np.uint64(20)) & np.uint64(BUCKETS - 1), minlength=BUCKETS), 65535).astype("<u2").tobytes() for u in own]
-                parity = [_parity(u).view(np.int64) for u in own]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n_docs), pa.array([len(u) for u in own], pa.int32()), pa.array([u.tobytes() for u in own], pa.binary()), pa.array(counts, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], names=["node", "n", "elements", "counts", "parity"])
+                part = batch.slice(block.first, block.n_docs)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(u) for u in own], pa.int32()), pa.array([_parity(u) for u in own], pa.list_(pa.int64())), part.column("text")], names=["node", "n", "parity", "text"])
 
     return run
 
 
-def _close(num: int, den: int):
-    """Keeps pairs whose bucket counts allow a link: their distance is at most the sets' difference."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int64) for c in ("ca", "cb"))
-            total = np.asarray(batch.column("na")).astype(np.int64) + np.asarray(batch.column("nb"))
-            near = (np.abs(a - b).sum(1) * (den + num) <= total * (den - num)) | (a == 65535).any(1) | (b == 65535).any(1)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+def exact_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The elements of each text as sorted numbers that agree within these texts, told apart by their words' bytes."""
+    block = next(_blocks_of(texts, 1 << 62))
+    codes, words = block.distinct()
+    codes, size, base = codes.astype(np.int64), 1, max(1, len(words))
+    m, many = max(0, len(codes) - k + 1), len(codes)
+    grams = np.zeros(m, np.int64)
+    for j in range(k):
+        if size * base >= 1 << 62:
+            found, grams = np.unique(grams, return_inverse=True)
+            grams, size = grams.reshape(-1).astype(np.int64), max(1, len(found))
+        grams, size = grams * base + codes[j : j + m], size * base
+    short: dict[bytes, int] = {}
+    out = []
+    for a, b in zip(block.bounds.tolist(), block.bounds[1:].tolist(), strict=False):
+        if b - a >= k:
+            out.append(np.unique(grams[a : b - k + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(codes[a:b].tobytes(), many + len(short))] if b > a else [], np.int64))
+    return out
 
-    return run
 
+def _check(k: int, num: int, den: int):
+    """Keeps the pairs that link, by their texts."""
 
-def _check(num: int, den: int):
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ea"), batch.column("eb"), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(den * both >= num * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            sizes = np.asarray(batch.column("la")).astype(np.int64) + np.asarray(batch.column("lb"))
+            for at, to in textblock.slices(np.concatenate([[0], np.cumsum(sizes)]), _CHUNK_BYTES):
+                part = batch.slice(at, to - at)
+                both = pa.concat_arrays([part.column("ta"), part.column("tb")]).dictionary_encode()
+                sets, which = exact_sets(both.dictionary, k), np.asarray(both.indices)
+                ok = []
+                for x, y in zip(which[: to - at].tolist(), which[to - at :].tolist(), strict=True):
+                    a, b = sets[x], sets[y]
+                    shared_ = len(a) if x == y else len(np.intersect1d(a, b, assume_unique=True))
+                    ok.append(len(a) > 0 and den * shared_ >= num * (len(a) + len(b) - shared_))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """A hint to broadcast a table of ids, given only after counting it."""
+    """A hint to broadcast a table of rows of fixed width, given only after counting it."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _fits(a: str, b: str, plan: Plan) -> F.Column:
+    """Whether two sizes allow a link."""
+    return (F.col(a) * plan.den >= F.col(b) * plan.num) & (F.col(b) * plan.den >= F.col(a) * plan.num)
+
+
+def _common(n: F.Column, plan: Plan) -> F.Column:
+    """The least overlap of linked sets with ``n`` elements together."""
+    return ((n.cast("long") * plan.num + (plan.num + plan.den - 1)) / (plan.num + plan.den)).cast("long")
+
+
 class _Verifier:
-    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, plan: Plan):
+    """Holds candidates against each other: first their sketches, then their texts."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, plan: Plan, work: shared.Work):
         wanted = docs.join(small(nodes), docs["doc_id"] == nodes["node"], "left_semi")
-        sets = wanted.mapInArrow(_sets(k), "node long, n int, elements binary, counts binary, parity array<long>")
-        self.sets = shared.written(sets, "sets")
-        self.plan = plan
+        self.nodes = work.written(wanted.mapInArrow(_sketched(k), "node long, n int, parity array<long>, text string"), "nodes")
+        self.k, self.plan, self.work = k, plan, work
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
         num, den = self.plan.num, self.plan.den
-        brief = self.sets.select("node", "n", "counts")
-        rows = pairs.join(brief.toDF("a", "na", "ca"), "a").join(brief.toDF("b", "nb", "cb"), "b")
-        near = rows.mapInArrow(_close(num, den), "a long, b long").distinct()
-        full = self.sets.select("node", "elements")
-        both = near.join(full.toDF("b", "eb"), "b").join(full.toDF("a", "ea"), "a")
-        return shared.written(both.mapInArrow(_check(num, den), "a long, b long"), "links")
-
+        brief = self.nodes.select("node", "n", "parity")
+        rows = pairs.join(brief.toDF("a", "na", "pa"), "a").join(brief.toDF("b", "nb", "pb"), "b")
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)])
+        near = rows.where(differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b").distinct()
+        near = self.work.written(near, "near")
+        texts = self.nodes.select("node", "text", F.octet_length("text").alias("size"))
+        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        texts = texts.join(small(ends), "node", "left_semi")
+        both = near.join(texts.toDF("a", "ta", "la"), "a").join(texts.toDF("b", "tb", "lb"), "b")
+        return self.work.written(both.mapInArrow(_check(self.k, num, den), "a long, b long").distinct(), "links")
+
+
+def _chosen(rows: np.ndarray, other: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Places of the NEAREST pairs of each row."""
+    order = np.lexsort((other, distance, rows))
+    sorted_ = rows[order]
+    begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return order[rank < NEAREST]
+
+
+def _across(plan: Plan, nearest: bool):
+    """Candidate pairs across the components of lists, by sizes, places in the lists and sketches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, low, high, own, node, n, place, component = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("key", "low", "high", "own", "node", "n", "place", "component"))
+        parity = np.asarray(table["parity"].combine_chunks().flatten()).view(np.uint64).reshape(-1, PARITY_WORDS)
+        order = np.lexsort((component, high, low, key))
+        key, low, high, own, node, n, place, component, parity = (x[order] for x in (key, low, high, own, node, n, place, component, parity))
+        brief = np.bitwise_xor.reduce(parity.reshape(len(parity), 4, -1), 1)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        group = np.cumsum(new) - 1
+        ends = np.append(np.flatnonzero(new)[1:], len(key))[group]
+        run_ = np.flatnonzero(new | np.concatenate([[True], component[1:] != component[:-1]]))
+        after = np.repeat(np.append(run_[1:], len(key)), np.diff(np.append(run_, len(key))))  # where the own component ends
+        counts = np.maximum(ends - np.minimum(after, ends), 0)
+        found: list[list[np.ndarray]] = [[], [], []]
+        for at, to in textblock.slices(np.concatenate([[0], np.cumsum(counts)]), _CHUNK_PAIRS):
+            c = counts[at:to]
+            x = np.repeat(np.arange(at, to), c)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + after[x]
+            least = plan.common(n[x], n[y])
+            ok = (n[x] - place[x] >= least) & (n[y] - place[y] >= least)
+            ok &= (n[x] * plan.den >= n[y] * plan.num) & (n[y] * plan.den >= n[x] * plan.num) & (node[x] != node[y])
+            ok &= (low[x] == high[x]) | (own[x] != own[y])
+            x, y = x[ok], y[ok]
+            for sketch in (brief, parity):
+                differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+                ok = differ * (plan.den + plan.num) <= (n[x] + n[y]) * (plan.den - plan.num)
+                x, y, differ = x[ok], y[ok], differ[ok]
+            for out, value in zip(found, (x, y, differ), strict=True):
+                out.append(value)
+        x, y, differ = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in found)
+        if nearest and len(x):
+            kept = np.unique(np.concatenate([_chosen(x, node[y], differ), _chosen(y, node[x], differ)]))
+            x, y = x[kept], y[kept]
+        both = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-def _fits(a: str, b: str, plan: Plan) -> F.Column:
-    """Whether two sizes allow a link."""
-    return (F.col(a) * plan.den >= F.col(b) * plan.num) & (F.col(b) * plan.den >= F.col(a) * plan.num)
+    return run
 
 
-def _differ(a: str, b: str) -> F.Column:
-    """In how many bits two parity sketches differ."""
-    words = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY_WORDS)]
-    return reduce(lambda x, y: x + y, words)
-
-
-def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, rounds: int = 6) -> DataFrame:
-    """Edges (a, b) between documents whose closure is that of all links between different sets."""
-    entry = signatures.where("keys is not null").select(F.col("doc_id").alias("node"), "n", F.explode(F.arrays_zip("keys", F.coalesce("shared", F.expr("array()").cast("array<smallint>")).alias("shared"))).alias("e"))
-    entry = entry.select("node", "n", F.col("e.keys").alias("key"), F.coalesce(F.col("e.shared"), F.lit(0)).cast("smallint").alias("s"))
-    group = Window.partitionBy("key")
-    lists = entry.withColumn("p", F.min(F.struct("n", "node")).over(group)).withColumn("other", F.max("node").over(group)).withColumn("first", F.min("node").over(group))
-    lists = shared.written(lists.where("first < other").select("key", "node", "n", "s", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")), "lists")
-    light = lists.where((F.col("s") > 0) & (F.col("node") != F.col("pivot")) & (F.col("s") * plan.den >= plan.num * (F.col("pn") + F.col("n") - F.col("s"))))
-    edges = light.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    heavy = lists.where("s = 0")
-    if heavy.isEmpty():
-        return edges
-    verifier = _Verifier(docs, heavy.select("node").distinct(), k, plan)
-    pairs = lambda rows: rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = shared.written(pairs(heavy.where(F.col("node") != F.col("pivot")).where(_fits("n", "pn", plan)).select(F.col("node").alias("x"), F.col("pivot").alias("y"))), "pairs")
-    edges = shared.written(edges.union(verifier.links(tried)).union(signatures_edges(signatures)), "edges")
-    heavy, before = heavy.select("key", "node", "n"), float("inf")
-    for turn in range(rounds + 1):
-        label = components(edges)
-        marked = heavy.join(small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        ends = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("g")).where("a < b")
-        marked = shared.written(marked.join(ends.select("key", "g"), "key"), "open")
-        rows, pairs_left = marked.agg(F.count(F.lit(1)), F.sum("g")).first()
+def _candidates(open_: DataFrame, rows: int, sketches: DataFrame, plan: Plan, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of the lists ``open_(key, node, n, place, component, g)``. Long lists are met block by block."""
+    many = F.ceil(F.col("g") / LIST_BLOCK).cast("int")
+    own = open_.withColumn("many", many).withColumn("own", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = other.select("key", "node", "n", "place", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    bundle = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, math.ceil(rows / BUNDLE))))
+    met = dealt.join(sketches, "node").withColumn("bundle", bundle)
+    return met.groupBy("bundle").applyInArrow(_across(plan, nearest), "a long, b long").distinct()
+
+
+def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, work: shared.Work) -> DataFrame:
+    """Edges (a, b) between documents whose closure is that of all links between different texts."""
+    # Of equal texts that several tasks have met, one enters the lists.
+    made = signatures.where("firsts is not null").select("doc_id", "h")
+    again = made.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    again = work.written(made.join(again, "h").where("doc_id > least").select("doc_id", "h"), "again")
+    nodes = signatures.where("firsts is not null").join(small(again), ["doc_id", "h"], "left_anti")
+    n = F.col("n")
+    heavy = nodes.select(F.col("doc_id").alias("node"), "n", F.posexplode("firsts").alias("place", "key"))
+    # In a pair the smaller set has its first common element among its first few, in view of the other's size.
+    heavy = heavy.withColumn("early", F.col("place") <= n - _common(2 * n, plan))
+    light = nodes.where("subsets is not null").select(F.col("doc_id").alias("node"), "n", F.explode(F.arrays_zip("subsets", "sizes")).alias("e"))
+    light = light.select("node", "n", F.col("e.sizes").alias("s"), F.col("e.subsets").alias("key"))
+    alive = heavy.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.bool_or("early").alias("early")).where("a < b and early").select("key")
+    lists = work.written(heavy.drop("early").join(small(work.written(alive, "alive")), "key"), "lists")
+    pivots = lists.groupBy("key").agg(F.min(F.struct("n", "node", "place")).alias("p"))
+    star = lists.join(pivots, "key").where("node <> p.node").select("node", "n", "place", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.place").alias("pplace"))
+    least = _common(n + F.col("pn"), plan)
+    star = star.where(_fits("n", "pn", plan) & (n - F.col("place") >= least) & (F.col("pn") - F.col("pplace") >= least)).select("node", "pivot")
+    alive = light.groupBy("key").agg(F.min(F.struct("n", "node")).alias("p"), F.max("node").alias("b"), F.min("node").alias("a")).where("a < b")
+    few = light.join(alive, "key").where((F.col("node") != F.col("p.node")) & (F.col("s") * plan.den >= plan.num * (F.col("p.n") + n - F.col("s"))))
+    ends = lambda rows: rows.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tried = work.written(ends(star.union(few.select("node", F.col("p.node")))), "pairs")
+    wanted = lists.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
+    verifier = _Verifier(docs, work.written(wanted, "wanted"), k, plan, work)
+    edges = verifier.links(tried)
+    for turn in range(NEAREST_TURNS + 1):
+        label = components(edges, work)
+        marked = lists.select("key", "node", "n", "place").join(small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("g")).where("x < y")
+        lists = work.written(marked.join(small(work.written(mixed.select("key", "g"), "mixed")), "key"), "open")
+        rows = lists.count()
         if not rows:
-            return edges
-        # A star unites what is alike; lists of unlike documents stay as they are, and further stars would not help.
-        if turn == rounds or pairs_left <= 64 * rows or pairs_left > 0.7 * before:
             break
-        before = pairs_left
-        order = F.xxhash64(F.lit(turn), "node")
-        pivot = marked.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), order).alias("p"))
-        star = marked.join(pivot, "key").where("component <> p.component").select(F.col("node").alias("x"), F.col("p.node").alias("y"), "n", F.col("p.n").alias("pn"))
-        fresh = shared.written(pairs(star.where(_fits("n", "pn", plan))).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = _candidates(lists, rows, verifier.nodes.select("node", "parity"), plan, turn < NEAREST_TURNS)
+        fresh = work.written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty() and turn == NEAREST_TURNS:
+            break
         tried = tried.union(fresh)
-        edges = shared.written(edges.union(verifier.links(fresh)), "edges")
-    sketched = marked.join(verifier.sets.select("node", "parity"), "node")
-    x, y = (sketched.select("key", F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("component").alias(f"c{v}"), F.col("parity").alias(f"p{v}")) for v in "xy")
-    alike = _differ("px", "py") * (plan.den + plan.num) <= (F.col("nx") + F.col("ny")) * (plan.den - plan.num)
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _fits("nx", "ny", plan) & alike)
-    fresh = pairs(rest.select("x", "y")).join(tried, ["a", "b"], "left_anti")
-    return shared.written(edges.union(verifier.links(fresh)), "edges")
-
-
-def signatures_edges(signatures: DataFrame) -> DataFrame:
-    """Edges between the documents of equal sets that made entries."""
-    made = signatures.where("keys is not null").select("doc_id", "h1", "h2", "n")
-    first = made.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("other")).where("a < other").drop("other")
-    return made.join(first, ["h1", "h2", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+        edges = work.written(edges.union(verifier.links(fresh)), "edges")
+    return edges
 
 
 def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     spark = docs.sparkSession
+    work = shared.Work(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    plan = Plan(num, den)
-    frequent = spark.sparkContext.broadcast(frequent_elements(docs, k))
-    path = shared.fresh(spark, "signatures")
-    schema = "doc_id long, n int, h1 long, h2 long, keys array<long>, shared array<smallint>"
-    docs.mapInArrow(_signatures(k, plan, frequent), schema).write.parquet(path)
-    signatures = spark.read.schema(schema).parquet(path)
-    found = components(links(docs, signatures, k, plan))
-    label = found.select(F.col("node").alias("doc_id"), "component")
-    rows = signatures.select("doc_id", "n", "h1", "h2")
-    # Only some of a set's documents are nodes, so the least id of a component may be that of a copy that is none.
-    marked = rows.where("doc_id is not null and n > 0").join(label, "doc_id", "left")
-    sets = marked.groupBy("h1", "h2", "n").agg(F.min("component").alias("c"), F.min("doc_id").alias("least"))
-    whole = sets.where("c is not null").groupBy("c").agg(F.min("least").alias("whole"))
-    least = sets.join(whole, "c", "left").select("h1", "h2", "n", F.coalesce("whole", "least").alias("set_component"))
+    often, others = counted(docs, k)
+    plan, frequent = planned(num, den, others), spark.sparkContext.broadcast(often)
+    signatures = work.written(docs.mapInArrow(_signatures(k, plan, frequent), _SIGNATURES), "signatures")
+    label = components(links(docs, signatures, k, plan, work), work).select(F.col("node").alias("doc_id"), "component")
+    rows = signatures.select("doc_id", "n", "h")
+    # Only some of equal texts are nodes, so the least id of a component may be that of a copy that is none.
+    marked = rows.where("doc_id is not null and n > 0").join(small(label), "doc_id", "left")
+    texts = marked.groupBy("h").agg(F.min("component").alias("c"), F.min("doc_id").alias("least"))
+    whole = texts.where("c is not null").groupBy("c").agg(F.min("least").alias("whole"))
+    least = texts.join(whole, "c", "left").select("h", F.coalesce("whole", "least").alias("text_component"))
     repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     if not repeated.isEmpty():
-        return _with_repeated_ids(rows, marked, least)
-    out = rows.join(least, ["h1", "h2", "n"], "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+        out = _with_repeated_ids(rows, marked, least, work)
+    else:
+        own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("text_component")).otherwise(F.col("doc_id"))
+        out = rows.join(least, "h", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    out = shared.written(out, "classes")
+    work.clear()
+    frequent.unpersist()
+    return out
 
 
-def _with_repeated_ids(rows: DataFrame, marked: DataFrame, least: DataFrame) -> DataFrame:
-    """Rows of one id are one document: what their sets reach is united."""
-    tie = marked.join(least, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("set_component").alias("b"))
-    label = components(tie).select(F.col("node").alias("doc_id"), "component")
+def _with_repeated_ids(rows: DataFrame, marked: DataFrame, least: DataFrame, work: shared.Work) -> DataFrame:
+    """Rows of one id are one document: what their texts reach is united."""
+    tie = marked.join(least, "h").select(F.col("doc_id").alias("a"), F.col("text_component").alias("b"))
+    label = components(tie, work).select(F.col("node").alias("doc_id"), "component")
     return rows.join(label, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -386,16 +456,19 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(small(ids.select(F.col(ids.columns[0]).alias(id_col))), id_col, "left_anti").select(docs.columns)
 
 
-def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document (the smallest id) of each group of linked documents; columns as before.
 
-    Documents without words and rows with a null id stay; of repeated rows of one id one stays.
+    Documents without words and rows with a null id stay. Of several rows of one id that stays whose text is the least in
+    order (a null text last); among rows with that text any.
     """
-    found = shared.written(classes(docs, k, num, den, id_col), "classes")
+    found = classes(docs, k, num, den, id_col, text_col)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = without(docs, gone, id_col)
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
     if twice.isEmpty():
         return kept
     again = kept.join(twice.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
-    return without(kept, twice, id_col).union(again.dropDuplicates([id_col]))
+    text = F.col(text_col)
+    one = again.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(text.isNull().alias("none"), text.alias("text"))).alias("r")).select("r.*")
+    return without(kept, twice, id_col).union(one.select(docs.columns))

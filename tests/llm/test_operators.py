@@ -136,22 +136,39 @@ def test_jaccard_least_id_is_a_later_copy(spark):
     same(jaccard.classes(docs), plain.classes(rows, 3, 90, 100), "doc_id", "n_shingles", "component_id")
 
 
-def test_jaccard_entries_lose_no_link():
-    """Linked sets of any size share an entry, whatever elements are left out as frequent."""
+@pytest.mark.parametrize("others", [0.0, 2.0, 50.0])
+def test_jaccard_entries_lose_no_link(others):
+    """Linked sets of any size meet in a list or by a subset, whatever elements come last as frequent."""
     rng = np.random.default_rng(4)
     for num in (80, 90):
-        plan = jaccard.Plan(num, 100)
+        plan = jaccard.planned(num, 100, others)
+        assert plan.light < plan.least_heavy * 100 / num + 1
         for n in (*range(1, 60), 100, 333, 1000):
             for _ in range(6):
-                a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+                a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
                 lost = int(rng.integers(0, len(a) - math.ceil(num * len(a) / 100) + 1))
                 more = int(rng.integers(0, max(1, math.floor((len(a) - lost) * 100 / num) - len(a)) + 1))
-                b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 2**63, more).astype(np.uint64)]))
+                b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 2**64, more, dtype=np.uint64)]))
                 both = len(np.intersect1d(a, b))
                 if 100 * both < num * (len(a) + len(b) - both):
                     continue
                 frequent = np.sort(rng.permutation(a)[: int(rng.integers(0, len(a) + 1))])
-                assert set(jaccard.entries(a, frequent, plan)[0]) & set(jaccard.entries(b, frequent, plan)[0])
+                if max(len(a), len(b)) <= plan.light:
+                    assert set(jaccard._subsets(a, plan)[0]) & set(jaccard._subsets(b, plan)[0])
+                    continue
+                assert min(len(a), len(b)) >= plan.least_heavy
+                x, y = (jaccard.first_elements(u, frequent, plan).tolist() for u in (a, b))
+                least, i = plan.common(len(a), len(b)), next(i for i, e in enumerate(x) if e in y)
+                assert len(a) - i >= least and len(b) - y.index(x[i]) >= least
+
+
+def test_jaccard_sets_agree_by_their_words():
+    texts = ["a b c d", "A b\tc d d", "b c", "C b", "b c", "", None, "a b c"]
+    import pyarrow as pa
+
+    sets = jaccard.exact_sets(pa.array(texts), 3)
+    assert [len(u) for u in sets] == [2, 3, 1, 1, 1, 0, 0, 1]
+    assert set(sets[0]) < set(sets[1]) and (sets[2] == sets[4]).all() and sets[2] != sets[3] and sets[7][0] in sets[0]
 
 
 def test_private_data(docs, odd, none, rows):
