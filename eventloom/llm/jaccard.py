@@ -46,6 +46,8 @@ from .components import components
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 #: 64-bit words of a set's parity sketch: enough to tell sets of a few thousand elements just below the threshold.
 PARITY_WORDS = 32
+#: Words of the sketch folded for the lists, where each set stands many times.
+BRIEF_WORDS = 8
 #: Only elements whose hash is below this are counted: those that come first in a set.
 COUNTED = np.uint64(1 << 62)
 #: Elements found this often in a task are reported; those found this often in all count as frequent. Any choice is right.
@@ -228,7 +230,9 @@ def _sketched(k: int):
             for block in _blocks_of(batch.column("text")):
                 own = list(elements(block, k))
                 part = batch.slice(block.first, block.n_docs)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(u) for u in own], pa.int32()), pa.array([_parity(u) for u in own], pa.list_(pa.int64())), part.column("text")], names=["node", "n", "parity", "text"])
+                parity = [_parity(u) for u in own]
+                brief = [np.bitwise_xor.reduce(x.reshape(-1, BRIEF_WORDS), 0).tobytes() for x in parity]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(u) for u in own], pa.int32()), pa.array(parity, pa.list_(pa.int64())), pa.array(brief, pa.binary())], names=["node", "n", "parity", "brief"])
 
     return run
 
@@ -295,20 +299,19 @@ class _Verifier:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, plan: Plan, work: shared.Work):
         wanted = docs.join(small(nodes), docs["doc_id"] == nodes["node"], "left_semi")
-        self.nodes = work.written(wanted.mapInArrow(_sketched(k), "node long, n int, parity array<long>, text string"), "nodes")
-        self.k, self.plan, self.work = k, plan, work
+        self.nodes = work.written(wanted.mapInArrow(_sketched(k), "node long, n int, parity array<long>, brief binary"), "nodes")
+        self.docs, self.k, self.plan, self.work = docs, k, plan, work
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
         num, den = self.plan.num, self.plan.den
-        brief = self.nodes.select("node", "n", "parity")
+        brief = self.nodes.select("node", "n", "parity").hint("merge")
         rows = pairs.join(brief.toDF("a", "na", "pa"), "a").join(brief.toDF("b", "nb", "pb"), "b")
         differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)])
         near = rows.where(differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b").distinct()
         near = self.work.written(near, "near")
-        texts = self.nodes.select("node", "text", F.octet_length("text").alias("size"))
-        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        texts = texts.join(small(ends), "node", "left_semi")
+        ends = self.work.written(near.select("a").union(near.select("b")).distinct(), "ends")
+        texts = self.docs.join(small(ends), self.docs["doc_id"] == ends["a"], "left_semi").select("doc_id", "text", F.octet_length("text").alias("size")).hint("merge")
         both = near.join(texts.toDF("a", "ta", "la"), "a").join(texts.toDF("b", "tb", "lb"), "b")
         return self.work.written(both.mapInArrow(_check(self.k, num, den), "a long, b long").distinct(), "links")
 
@@ -327,10 +330,9 @@ def _across(plan: Plan, nearest: bool):
 
     def run(table: pa.Table) -> pa.Table:
         key, low, high, own, node, n, place, component = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("key", "low", "high", "own", "node", "n", "place", "component"))
-        parity = np.asarray(table["parity"].combine_chunks().flatten()).view(np.uint64).reshape(-1, PARITY_WORDS)
+        brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint64).reshape(-1, BRIEF_WORDS)
         order = np.lexsort((component, high, low, key))
-        key, low, high, own, node, n, place, component, parity = (x[order] for x in (key, low, high, own, node, n, place, component, parity))
-        brief = np.bitwise_xor.reduce(parity.reshape(len(parity), 4, -1), 1)
+        key, low, high, own, node, n, place, component, brief = (x[order] for x in (key, low, high, own, node, n, place, component, brief))
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         group = np.cumsum(new) - 1
         ends = np.append(np.flatnonzero(new)[1:], len(key))[group]
@@ -347,31 +349,29 @@ def _across(plan: Plan, nearest: bool):
             ok &= (n[x] * plan.den >= n[y] * plan.num) & (n[y] * plan.den >= n[x] * plan.num) & (node[x] != node[y])
             ok &= (low[x] == high[x]) | (own[x] != own[y])
             x, y = x[ok], y[ok]
-            for sketch in (brief, parity):
-                differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-                ok = differ * (plan.den + plan.num) <= (n[x] + n[y]) * (plan.den - plan.num)
-                x, y, differ = x[ok], y[ok], differ[ok]
+            differ = np.bitwise_count(brief[x] ^ brief[y]).sum(1, dtype=np.int64)
+            ok = differ * (plan.den + plan.num) <= (n[x] + n[y]) * (plan.den - plan.num)
             for out, value in zip(found, (x, y, differ), strict=True):
-                out.append(value)
+                out.append(value[ok])
         x, y, differ = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in found)
         if nearest and len(x):
             kept = np.unique(np.concatenate([_chosen(x, node[y], differ), _chosen(y, node[x], differ)]))
             x, y = x[kept], y[kept]
-        both = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        both = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), key[x]], 1), axis=0) if len(x) else np.zeros((0, 3), np.int64)
+        return pa.table([pa.array(both[:, i]) for i in range(3)], names=["a", "b", "key"])
 
     return run
 
 
 def _candidates(open_: DataFrame, rows: int, sketches: DataFrame, plan: Plan, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of the lists ``open_(key, node, n, place, component, g)``. Long lists are met block by block."""
+    """Pairs (a, b) of the lists ``open_(key, node, n, place, component, g)``, by list. Long lists are met block by block."""
     many = F.ceil(F.col("g") / LIST_BLOCK).cast("int")
     own = open_.withColumn("many", many).withColumn("own", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     dealt = other.select("key", "node", "n", "place", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     bundle = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, math.ceil(rows / BUNDLE))))
-    met = dealt.join(sketches, "node").withColumn("bundle", bundle)
-    return met.groupBy("bundle").applyInArrow(_across(plan, nearest), "a long, b long").distinct()
+    met = dealt.join(sketches.hint("merge"), "node").withColumn("bundle", bundle)
+    return met.groupBy("bundle").applyInArrow(_across(plan, nearest), "a long, b long, key long")
 
 
 def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, work: shared.Work) -> DataFrame:
@@ -390,7 +390,7 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, work: shar
     alive = heavy.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.bool_or("early").alias("early")).where("a < b and early").select("key")
     lists = work.written(heavy.drop("early").join(small(work.written(alive, "alive")), "key"), "lists")
     pivots = lists.groupBy("key").agg(F.min(F.struct("n", "node", "place")).alias("p"))
-    star = lists.join(pivots, "key").where("node <> p.node").select("node", "n", "place", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.place").alias("pplace"))
+    star = lists.join(pivots.hint("merge"), "key").where("node <> p.node").select("node", "n", "place", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.place").alias("pplace"))
     least = _common(n + F.col("pn"), plan)
     star = star.where(_fits("n", "pn", plan) & (n - F.col("place") >= least) & (F.col("pn") - F.col("pplace") >= least)).select("node", "pivot")
     alive = light.groupBy("key").agg(F.min(F.struct("n", "node")).alias("p"), F.max("node").alias("b"), F.min("node").alias("a")).where("a < b")
@@ -403,15 +403,18 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, work: shar
     for turn in range(NEAREST_TURNS + 1):
         label = components(edges, work)
         marked = lists.select("key", "node", "n", "place").join(small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("g")).where("x < y")
+        # The star has tried the only pair of a list of two.
+        mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("g")).where("x < y and g > 2")
         lists = work.written(marked.join(small(work.written(mixed.select("key", "g"), "mixed")), "key"), "open")
         rows = lists.count()
         if not rows:
             break
-        found = _candidates(lists, rows, verifier.nodes.select("node", "parity"), plan, turn < NEAREST_TURNS)
-        fresh = work.written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty() and turn == NEAREST_TURNS:
+        found = work.written(_candidates(lists, rows, verifier.nodes.select("node", "brief"), plan, turn < NEAREST_TURNS), "met")
+        if found.isEmpty():
             break
+        # Lists without candidates will have none later, as components only grow.
+        lists = lists.drop("component", "g").join(small(work.written(found.select("key").distinct(), "keys")), "key")
+        fresh = work.written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(fresh)
         edges = work.written(edges.union(verifier.links(fresh)), "edges")
     return edges
