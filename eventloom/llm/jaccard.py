@@ -58,12 +58,12 @@ SAMPLED = np.uint64(1 << 52)
 #: What holding a candidate against a set costs, in entries of a list.
 CANDIDATE = 8
 #: Id sets of up to this many rows (8 bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 #: Sets of a list that meet in a task at once, and rows in a task's group as a mean.
 LIST_BLOCK, BUNDLE = 2048, 20_000
 NEAREST_TURNS, NEAREST = 2, 2
-_CHUNK_PAIRS = 1 << 19
-_CHUNK_BYTES = 2 << 20
+_CHUNK_PAIRS = 1 << 17
+_CHUNK_BYTES = 1 << 20
 
 
 class Plan:
@@ -162,9 +162,9 @@ def _occurrences(k: int):
                     inside[edge[(edge >= 0) & (edge < len(grams))]] = False
                 fresh.append(grams[inside & (grams < COUNTED)])
                 size += len(fresh[-1])
-                if size > 2_000_000:
+                if size > 500_000:
                     (kept, counts), fresh, size = compact(), [], 0
-                    if len(kept) > 3_000_000:  # bounds the task's memory
+                    if len(kept) > 1_500_000:  # bounds the task's memory
                         yield rows(LEAST_IN_TASK)
                         kept, counts = kept[:0], counts[:0]
         kept, counts = compact()
@@ -388,7 +388,7 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, work: shar
     light = nodes.where("subsets is not null").select(F.col("doc_id").alias("node"), "n", F.explode(F.arrays_zip("subsets", "sizes")).alias("e"))
     light = light.select("node", "n", F.col("e.sizes").alias("s"), F.col("e.subsets").alias("key"))
     alive = heavy.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.bool_or("early").alias("early")).where("a < b and early").select("key")
-    lists = work.written(heavy.drop("early").join(small(work.written(alive, "alive")), "key"), "lists")
+    lists = work.written(heavy.drop("early").join(work.written(alive, "alive").hint("merge"), "key"), "lists")
     pivots = lists.groupBy("key").agg(F.min(F.struct("n", "node", "place")).alias("p"))
     star = lists.join(pivots.hint("merge"), "key").where("node <> p.node").select("node", "n", "place", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.place").alias("pplace"))
     least = _common(n + F.col("pn"), plan)
@@ -405,7 +405,7 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, work: shar
         marked = lists.select("key", "node", "n", "place").join(small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
         # The star has tried the only pair of a list of two.
         mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("g")).where("x < y and g > 2")
-        lists = work.written(marked.join(small(work.written(mixed.select("key", "g"), "mixed")), "key"), "open")
+        lists = work.written(marked.join(work.written(mixed.select("key", "g"), "mixed").hint("merge"), "key"), "open")
         rows = lists.count()
         if not rows:
             break
@@ -413,7 +413,7 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, plan: Plan, work: shar
         if found.isEmpty():
             break
         # Lists without candidates will have none later, as components only grow.
-        lists = lists.drop("component", "g").join(small(work.written(found.select("key").distinct(), "keys")), "key")
+        lists = lists.drop("component", "g").join(work.written(found.select("key").distinct(), "keys").hint("merge"), "key")
         fresh = work.written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(fresh)
         edges = work.written(edges.union(verifier.links(fresh)), "edges")
