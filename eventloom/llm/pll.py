@@ -1,30 +1,31 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts every token from ``SIDE`` tokens on each side: their embeddings pass a hidden layer, and a
-two-level softmax (class, then member) over the most frequent words and ``ENDINGS`` groups of all others, by a hash of
-their last three bytes, gives an exactly normalised probability. Each group is a binary tree of its words, with a logistic
-choice at each node. A document's score is the sum of the conditional log-probabilities of its tokens.
-
-1. The words of all documents are counted (a grouped sum over all distinct words). Every word counted ``LEAST`` times or
-   more is a token of its own; the others of a group share one leaf of its tree. The trees are Huffman trees of the
-   counts, so the cost of a word grows with the logarithm of the vocabulary, and a word starts with its share of its group.
-2. The network starts from a fit to at most ``WARM_DOCS`` distinct texts, drawn by a hash, which one task makes. From
-   there, one distinct text in ``WARM_SHARE`` (a sample that grows with the corpus) is dealt to tasks of about
-   ``WARM_DOCS`` each. Then each task trains on all windows of all its documents. After each step the results are
-   averaged: the layers weighted by their windows, the rows of a word or node by how often a task has met them, in
-   integer sums that do not depend on the order of tasks.
-3. Every document is scored; nothing but ids and scores leaves the tasks.
+two-level softmax (class, then member) gives an exactly normalised probability over the ``WORDS`` most frequent words,
+``ENDINGS`` groups of other known words (by a hash of their last three bytes), and one token for all that is spelled.
+
+* A known word has its group's probability times its own share of the group's occurrences in the corpus.
+* A word counted fewer than ``LEAST`` times is spelled: its probability is that of the token times that of its bytes, each
+  given the one before, from counts of the corpus. So every word has a probability of its own, and all of them sum to 1.
+  At most ``TABLE_WORDS`` words are known, which bounds what a task holds; the rarest of more are spelled as well.
 
-The model grows with the vocabulary: 29 numbers for each word. Driver and tasks hold it whole.
+A document's score is the sum of the conditional log-probabilities of its tokens.
+
+1. The words of all documents are counted (a grouped sum over all distinct words), and so are the pairs of bytes in them.
+2. The network is trained in ``ROUNDS`` over disjoint parts of the documents that cover all of them, each larger than the
+   last. In a round the documents are dealt to shards of about ``SHARD_DOCS`` by a hash of id and text, every shard trains
+   from the same network, and the results are averaged, weighted by their windows, in integer sums. Neither the number of
+   input files nor the order of tasks changes a score.
+3. Every document is scored; nothing but ids and scores leaves the tasks.
 
 Edge cases: null and empty texts, and texts without words, have 0 tokens, score 0 and a null mean; beyond a text's ends
-the window holds a padding token; documents are whole; repeated rows give repeated scores; an empty table gives no rows;
-further columns are ignored.
+the window holds a padding token; documents are whole, whatever their length; repeated rows and ties give equal scores;
+null ids are kept; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,18 +39,21 @@ from .leaks import SEPARATORS
 
 SIDE = 2
 CLASSES = MEMBERS = 32
-ENDINGS = 128
-WORDS = CLASSES * MEMBERS - ENDINGS
-#: Words of fewer occurrences in the corpus share a leaf of their ending's tree.
-LEAST = 10
+ENDINGS = 127
+SPELLED = CLASSES * MEMBERS - 1
+WORDS = SPELLED - ENDINGS
 PADDING = CLASSES * MEMBERS
-FIRST = PADDING + 1  # token of the first word that has a leaf in a tree
+#: Words of fewer occurrences in the corpus are spelled.
+LEAST = 2
+TABLE_WORDS = 2_000_000
 EMBED, HIDDEN = 12, 16
 BATCH = 8192
-WARM_DOCS, WARM_SHARE = 1000, 32
+SHARD_DOCS = 4000
+#: Sixteenths of the documents in each round, and its rate.
+ROUNDS = [(1, 0.02), (1, 0.02), (2, 0.01), (4, 0.006), (8, 0.004)]
 UNIT = 1 << 20
-TAIL_RATE = 0.02
 _CHUNK = 4096
+_ENDING_BITS = np.uint64(127)
 _SIZES = {"embed": (CLASSES * MEMBERS + 1, EMBED), "inner": (2 * SIDE * EMBED, HIDDEN), "bias": (HIDDEN,), "classes": (CLASSES, HIDDEN), "class_bias": (CLASSES,), "members": (CLASSES, MEMBERS, HIDDEN), "member_bias": (CLASSES, MEMBERS)}
 PARAMETERS = sum(int(np.prod(s)) for s in _SIZES.values())
 
@@ -61,11 +65,28 @@ def _blocks(texts: pa.Array):
 def _keys(block: textblock.Block) -> np.ndarray:
     """A hash of each word of a block, whose lowest bits are the word's ending."""
     ending = textblock.range_hashes(block.data, np.maximum(block.starts, block.ends - 3), block.ends)
-    return (block.hashes() & ~np.uint64(ENDINGS - 1)) | (ending % np.uint64(ENDINGS))
+    return (block.hashes() & ~_ENDING_BITS) | (ending % np.uint64(ENDINGS))
+
+
+def _steps(block: textblock.Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(previous and next byte, as one number, of every step in spelling the words, end to end; their bounds).
+
+    Bytes count from 1; 0 stands before the first byte and after the last.
+    """
+    data, bounds = textblock.gathered(block.data, block.starts[words], block.ends[words])
+    sizes = np.diff(bounds) + 1
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    after = np.zeros(int(edges[-1]), np.int64)
+    after[np.arange(len(data)) + np.repeat(np.arange(len(words)), sizes - 1)] = data.astype(np.int64) + 1
+    before = np.zeros(len(after), np.int64)
+    before[1:] = after[:-1]
+    return before * 257 + after, edges
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, key, n): kind 0 for words, 1 for steps of spelling."""
     kept, sums, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    steps = np.zeros(257 * 257, np.int64)
 
     def merged():
         values = np.concatenate([kept, *fresh])
@@ -73,110 +94,66 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, which = np.unique(values, return_inverse=True)
         return found, np.bincount(which, weights, len(found)).astype(np.int64)
 
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(sums)], names=["word", "n"])
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "word", "n"])
 
     for batch in batches:
         for block in _blocks(batch.column("text")):
             fresh.append(_keys(block))
             size += len(fresh[-1])
-            if size > 2_000_000:
+            steps += np.bincount(_steps(block, np.arange(len(block.starts)))[0], minlength=len(steps))
+            if size > 1_000_000:
                 (kept, sums), fresh, size = merged(), [], 0
-                if len(kept) > 3_000_000:  # bounds the task's memory; the grouped sum adds the parts up
-                    yield rows()
+                if len(kept) > 2_000_000:  # bounds the task's memory; the grouped sum adds the parts up
+                    yield rows(0, kept.view(np.int64), sums)
                     kept, sums = kept[:0], sums[:0]
     kept, sums = merged()
-    yield rows()
+    yield rows(0, kept.view(np.int64), sums)
+    met = np.flatnonzero(steps)
+    yield rows(1, met, steps[met])
 
 
 @dataclass
-class Tail:
-    """The words beyond the WORDS most frequent ones: their places in the trees, and what is learned of them.
-
-    Leaves are the words, then the shared leaf of each ending. They are ranked from left to right, tree after tree, so
-    that the leaves below any inner node are neighbours. There are as many inner nodes as words.
-    """
-
-    endings: np.ndarray  # of the leaves
-    rank: np.ndarray  # of the leaves
-    root: np.ndarray  # the inner node at the top of each ending's tree, or -1
-    split: np.ndarray  # the least rank on the right of an inner node
-    child: np.ndarray  # the inner nodes on its left and right, -1 for a leaf
-    embed: np.ndarray  # of the words, added to the embedding of the word's ending
-    node: np.ndarray  # weights of the inner nodes, the last column their bias
-
-    def __len__(self) -> int:
-        return len(self.embed)
-
-    def copy(self) -> Tail:
-        return Tail(self.endings, self.rank, self.root, self.split, self.child, self.embed.copy(), self.node.copy())
-
-
-def plant(endings: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> Tail:
-    """Huffman trees of words (with their counts) and the shared leaves (with theirs)."""
-    n = len(endings)
-    leaves = n + ENDINGS
-    below, kids, bias, tops, ranked = [1] * leaves, [], [], [], 0
-    order = np.argsort(endings, kind="stable")
-    edges = np.searchsorted(endings[order], np.arange(ENDINGS + 1))
-    first = [0] * (leaves + n)
-    for e in range(ENDINGS):
-        own, bottom = order[edges[e] : edges[e + 1]], len(kids)
-        heap = [*zip(counts[own].tolist(), own.tolist(), strict=True), (max(1, int(rest[e])), n + e)]
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a + b, leaves + len(kids)))
-            kids.append((left, right))
-            bias.append(np.log(b / a))
-            below.append(below[left] + below[right])
-        tops.append(heap[0][1])
-        first[tops[-1]] = ranked
-        for i in range(len(kids) - 1, bottom - 1, -1):
-            left, right = kids[i]
-            first[left] = first[leaves + i]
-            first[right] = first[left] + below[left]
-        ranked += len(own) + 1
-    child = np.array(kids, np.int64).reshape(-1, 2)
-    first, node = np.array(first, np.int32), np.zeros((n, HIDDEN + 1), np.float32)
-    node[:, HIDDEN] = bias
-    inner = lambda x: np.where(x < leaves, -1, x - leaves).astype(np.int32)
-    every = np.concatenate([endings, np.arange(ENDINGS)]).astype(np.int32)
-    return Tail(every, first[:leaves], inner(np.array(tops)), first[child[:, 1]], inner(child), np.zeros((n, EMBED), np.float32), node)
+class Model:
+    words: np.ndarray  # keys: the most frequent words, then the other known ones
+    share: np.ndarray  # of the other known words: the logarithm of the share in their group
+    spelling: np.ndarray  # the logarithm of each step's probability
+    flat: np.ndarray  # the network
 
 
-@dataclass
-class Model:
-    words: np.ndarray  # keys: the WORDS most frequent words, then those of the tail
-    flat: np.ndarray
-    tail: Tail
-
-
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, Tail]:
-    """Keys of all words counted at least LEAST times or among the WORDS most frequent, most frequent first, and their trees."""
-    counted = docs.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = shared.written(counted, "words")
-    rare = F.col("n") < LEAST
-    ending = F.col("word").bitwiseAND(F.lit(ENDINGS - 1))
-    # Of the rare words only the sums by ending are wanted, but a small corpus may have no more than those.
-    top = counted.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
-    rows = counted.select(F.when(~rare, F.col("word")).alias("word"), ending.alias("ending"), "n").groupBy("word", "ending").agg(F.sum("n").alias("n")).toArrow()
+def vocabulary(docs: DataFrame) -> Model:
+    """The known words, their shares and the spelling, with an untrained network."""
+    work = shared.Work(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(_counts, "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    counted = work.written(counted, "words")
     column = lambda t, c: np.asarray(t[c].combine_chunks())
-    head, own = column(top, "word"), np.asarray(rows["word"].is_valid().combine_chunks())
-    rest = np.zeros(ENDINGS, np.int64)
-    rest[column(rows, "ending")[~own]] = column(rows, "n")[~own]
-    few = column(top, "n") < LEAST
-    np.subtract.at(rest, head[few] & (ENDINGS - 1), column(top, "n")[few])
-    words, n = np.asarray(rows["word"].combine_chunks().fill_null(0))[own], column(rows, "n")[own]
-    left = ~np.isin(words, head)
-    words, n = words[left], n[left]
-    order = np.lexsort((words, -n))
-    words, n = words[order], n[order]
-    return np.concatenate([head, words]).view(np.uint64), plant(words & (ENDINGS - 1), n, rest)
+    words = counted.where("kind = 0")
+    by_count = words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()  # at most 1,000 rows
+    least, total = 1001, 0
+    for n, c in by_count:
+        total += c
+        if n < LEAST or total > TABLE_WORDS:
+            break
+        least = n
+    top = words.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    rows = words.where(F.col("n") >= least).toArrow()
+    head, keys, n = column(top, "word"), column(rows, "word"), column(rows, "n")
+    left = ~np.isin(keys, head)
+    keys, n = keys[left], n[left]
+    order = np.lexsort((keys, -n))
+    keys, n = keys[order], n[order]
+    group = keys & int(_ENDING_BITS)
+    share = np.log(n / np.bincount(group, n, ENDINGS)[group]) if len(n) else np.zeros(0)
+    steps = counted.where("kind = 1").toArrow()  # at most 257 * 257 rows
+    seen = np.ones(257 * 257)
+    seen[column(steps, "word")] += column(steps, "n")
+    seen = seen.reshape(257, 257)
+    work.clear()
+    return Model(np.concatenate([head, keys]).view(np.uint64), share, np.log(seen / seen.sum(1, keepdims=True)).reshape(-1), start())
 
 
 class Vocabulary:
-    """Tokens of words: places of the most frequent words, WORDS + ending for rare words, FIRST + place in the tail."""
+    """Places of words among the known ones."""
 
     def __init__(self, words: np.ndarray):
         bits = max(4, int(2 * len(words)).bit_length())
@@ -205,16 +182,30 @@ class Vocabulary:
             todo = todo[(out[todo] >= 0) & (self.words[out[todo]] != keys[todo])]
         return out
 
-    def windows(self, block: textblock.Block) -> tuple[np.ndarray, np.ndarray]:
-        """(token, the tokens around it) for each word of a block."""
+    def windows(self, block: textblock.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, the tokens around it, the word's place or -1) for each word of a block."""
         keys = _keys(block)
         found = self.places(keys)
-        tokens = np.where(found < 0, WORDS + (keys % np.uint64(ENDINGS)).astype(np.int64), np.where(found < WORDS, found, found - WORDS + FIRST))
+        group = WORDS + (keys & _ENDING_BITS).astype(np.int64)
+        near = np.where((found >= 0) & (found < WORDS), found, group)  # spelled words are known by their endings
+        tokens = np.where(found < 0, SPELLED, near)
         at = np.arange(len(tokens)) + SIDE * (1 + block.docs_of_words())
         padded = np.full(len(tokens) + SIDE * (block.n_docs + 1), PADDING, np.int64)
-        padded[at] = tokens
+        padded[at] = near
         around = [padded[at + j] for j in range(-SIDE, SIDE + 1) if j]
-        return tokens, np.stack(around, 1) if len(tokens) else np.zeros((0, 2 * SIDE), np.int64)
+        return tokens, np.stack(around, 1) if len(tokens) else np.zeros((0, 2 * SIDE), np.int64), found
+
+
+def within(block: textblock.Block, tokens: np.ndarray, places: np.ndarray, model: Model) -> np.ndarray:
+    """The logarithm of each word's probability given its token."""
+    out = np.zeros(len(tokens))
+    known = np.flatnonzero(places >= WORDS)
+    out[known] = model.share[places[known] - WORDS]
+    spelled = np.flatnonzero(tokens == SPELLED)
+    if len(spelled):
+        steps, edges = _steps(block, spelled)
+        out[spelled] = np.add.reduceat(model.spelling[steps], edges[:-1])
+    return out
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -244,76 +235,17 @@ def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return logits, e
 
 
-def _summed(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct ids, how often each occurs, the sums of its rows of values)."""
-    if not len(ids):
-        return ids, ids, values
-    ids = ids.astype(np.int32)
-    order = np.argsort(ids)
-    ids = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[first], np.diff(np.append(first, len(ids))), np.add.reduceat(values[order], first, 0)
-
-
 class Network:
-    def __init__(self, flat: np.ndarray, tail: Tail | None = None):
-        self.flat, self.tail = flat.astype(np.float32), tail
+    def __init__(self, flat: np.ndarray):
+        self.flat = flat.astype(np.float32)
         self.p = unpack(self.flat)
-        self.slopes: list = []  # of the tail's embeddings and nodes, after a run with gradient
-
-    def _down(self, rank: np.ndarray, ending: np.ndarray, hidden: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probabilities of leaves in their trees, what they pass back to ``hidden``); the leaves come by their ranks."""
-        tail, met = self.tail, []
-        out, back = np.zeros(len(rank), np.float32), np.zeros((len(rank) if gradient else 0, HIDDEN + 1), np.float32)
-        h = np.ones((len(rank), HIDDEN + 1), np.float32)
-        h[:, :HIDDEN] = hidden
-        at, up = np.arange(len(rank)), tail.root[ending]
-        while True:
-            more = np.flatnonzero(up >= 0)
-            if not len(more):
-                break
-            if len(more) < len(up):
-                at, up, rank, h = at[more], up[more], rank[more], h[more]
-            w = tail.node[up]
-            side = rank >= tail.split[up]
-            sign = np.where(side, np.float32(1), np.float32(-1))
-            z = sign * np.einsum("ij,ij->i", h, w)
-            small = np.exp(-np.abs(z))
-            out[at] += np.minimum(z, 0) - np.log(1 + small)
-            if gradient:
-                g = (sign * np.where(z < 0, np.float32(1), small) / (1 + small))[:, None]
-                w *= g
-                back[at] += w
-                first = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
-                met.append((up[first], np.diff(np.append(first, len(up))), np.add.reduceat(h * g, first, 0)))
-            up = tail.child[up, side.view(np.int8)]
-        if gradient:
-            empty = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, HIDDEN + 1), np.float32))
-            self.slopes[1] = tuple(np.concatenate(x) for x in zip(empty, *met, strict=True))
-        return out, back[:, :HIDDEN]
 
     def run(self, tokens: np.ndarray, around: np.ndarray, gradient: bool = False):
-        """Log-probabilities of the tokens, sorted as given; with ``gradient`` also the flat gradient of their sum."""
+        """Log-probabilities of the tokens; with ``gradient`` also the flat gradient of their sum."""
         p, n = self.p, len(tokens)
-        key = tokens
-        if self.tail is not None:
-            places = np.flatnonzero(around.reshape(-1) >= FIRST)
-            others = around.reshape(-1)[places] - FIRST
-            around = around.copy()
-            around.reshape(-1)[places] = WORDS + self.tail.endings[others]
-            far = tokens >= WORDS
-            leaves = np.where(tokens >= FIRST, tokens - FIRST, tokens - WORDS + len(self.tail))[far]
-            key = tokens.astype(np.int32)
-            key[far] = WORDS + self.tail.rank[leaves]
-        x = p["embed"][around].reshape(n, -1)
-        if self.tail is not None:
-            x.reshape(-1, EMBED)[places] += self.tail.embed[others]
-        order = np.argsort(key)
-        if self.tail is not None:
-            nodes = tokens.copy()
-            nodes[far] = WORDS + self.tail.endings[leaves]
-            tokens = nodes
-        tokens, x = tokens[order], x[order]
+        order = np.argsort(tokens)
+        x = p["embed"][around[order]].reshape(n, -1)
+        tokens = tokens[order]
         group, member = tokens // MEMBERS, tokens % MEMBERS
         hidden = np.tanh(x @ p["inner"] + p["bias"])
         log_class, class_p = _softmax(hidden @ p["classes"].T + p["class_bias"])
@@ -342,13 +274,6 @@ class Network:
                 g["members"][c] = member_p.T @ hidden[a:b]
                 g["member_bias"][c] = member_p.sum(0)
                 back[a:b] += member_p @ p["members"][c]
-        if self.tail is not None:
-            self.slopes = [None, None]
-            far = np.searchsorted(tokens, WORDS)
-            own, passed = self._down(key[order[far:]] - WORDS, tokens[far:] - WORDS, hidden[far:], gradient)
-            out[far:] += own
-            if gradient:
-                back[far:] += passed
         scores = np.empty(n, np.float32)
         scores[order] = out
         if not gradient:
@@ -356,22 +281,17 @@ class Network:
         back *= 1 - hidden * hidden
         g["inner"][:] = x.T @ back
         g["bias"][:] = back.sum(0)
-        slope = np.empty((n, 2 * SIDE * EMBED), np.float32)
-        slope[order] = back @ p["inner"].T
-        at = (around.reshape(-1, 1) * EMBED + np.arange(EMBED)).reshape(-1)
-        g["embed"][:] = np.bincount(at, slope.reshape(-1), g["embed"].size).reshape(g["embed"].shape)
-        if self.tail is not None:
-            self.slopes[0] = _summed(others, slope.reshape(-1, EMBED)[places])
+        slope = (back @ p["inner"].T).reshape(-1)
+        at = (around[order].reshape(-1, 1) * EMBED + np.arange(EMBED)).reshape(-1)
+        g["embed"][:] = np.bincount(at, slope, g["embed"].size).reshape(g["embed"].shape)
         return scores, flat
 
 
 class Trainer:
-    """Adaptive gradient steps over batches of windows: a running mean of squares, and sums of squares by row for the tail."""
+    """Gradient steps over batches of windows, scaled by a running mean of squares."""
 
-    def __init__(self, flat: np.ndarray, rate: float, tail: Tail):
-        self.network, self.rate, self.squares, self.steps, self.windows = Network(flat, tail.copy()), rate, np.zeros(PARAMETERS, np.float32), 0, 0
-        self.tables = [self.network.tail.embed, self.network.tail.node]
-        self.tail_squares, self.met = [np.zeros(len(tail), np.float32) for _ in range(2)], [np.zeros(len(tail), np.int64) for _ in range(2)]
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.network, self.rate, self.squares, self.steps, self.windows = Network(flat), rate, np.zeros(PARAMETERS, np.float32), 0, 0
 
     def feed(self, tokens: np.ndarray, around: np.ndarray) -> None:
         for at in range(0, len(tokens), BATCH):
@@ -382,109 +302,79 @@ class Trainer:
             self.squares += 0.01 * (slope * slope - self.squares)
             rate = self.rate / (1 + self.steps / 200) ** 0.5
             self.network.flat += rate * slope / (np.sqrt(self.squares / (1 - 0.99**self.steps)) + 1e-5)
-            for (ids, times, own), table, squares, met in zip(self.network.slopes, self.tables, self.tail_squares, self.met, strict=True):
-                squares[ids] += (own * own).mean(1)
-                table[ids] += TAIL_RATE * own / (np.sqrt(squares[ids]) + 1e-5)[:, None]
-                met[ids] += times
             self.windows += len(part)
 
 
-def _train(model, rate: float, epochs: int = 1):
+_ROWS = "chunk int, n long, part binary"
+
+
+def _train(model, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, lookup = Trainer(model.value.flat, rate, model.value.tail), Vocabulary(model.value.words)
-        if epochs > 1:
-            batches = list(batches) * epochs  # only for the warm-up, of a bounded number of texts in a task
+        trainer, lookup = Trainer(model.value.flat, rate), Vocabulary(model.value.words)
         for batch in batches:
             for block in _blocks(batch.column("text")):
-                trainer.feed(*lookup.windows(block))
-        if not trainer.windows:
-            return
-        tables = [trainer.network.flat[:, None], *trainer.tables]
-        for kind, (table, met) in enumerate(zip(tables, [np.full(PARAMETERS, trainer.windows), *trainer.met], strict=True)):
-            for chunk, first in enumerate(range(0, len(table), _CHUNK)):
-                ids = np.flatnonzero(met[first : first + _CHUNK]) + first
-                if len(ids):
-                    packed = [pa.array([v.tobytes()], pa.binary()) for v in (ids.astype(np.int32), met[ids], table[ids])]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), *packed], names=["kind", "chunk", "ids", "n", "rows"])
+                trainer.feed(*lookup.windows(block)[:2])
+        if trainer.windows:
+            parts = [trainer.network.flat[a : a + _CHUNK].tobytes() for a in range(0, PARAMETERS, _CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([trainer.windows] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "n", "part"])
 
     return run
 
 
-_WIDTHS = (1, EMBED, HIDDEN + 1)
-_ROWS = "kind int, chunk int, ids binary, n binary, rows binary"
-
-
-def _unpacked(batch: pa.RecordBatch):
-    columns = [batch.column(c).to_pylist() for c in ("kind", "chunk", "ids", "n", "rows")]
-    for kind, chunk, ids, n, rows in zip(*columns, strict=True):
-        yield kind, chunk, np.frombuffer(ids, np.int32), np.frombuffer(n, np.int64), np.frombuffer(rows, np.float32).reshape(-1, _WIDTHS[kind])
-
-
 def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict = {}
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for kind, chunk, ids, n, rows in _unpacked(batch):
-            if (kind, chunk) not in sums:
-                sums[kind, chunk] = np.zeros((3, _CHUNK, _WIDTHS[kind]), np.int64)
-            high, low, total = sums[kind, chunk]
-            at, fixed = ids - chunk * _CHUNK, np.rint(np.clip(rows.astype(np.float64), -1000, 1000) * UNIT).astype(np.int64)
-            high[at] += fixed * (n >> 20)[:, None]  # two limbs, so that no sum overflows
-            low[at] += fixed * (n & (1 << 20) - 1)[:, None]
-            total[at] += n[:, None]
-    for (kind, chunk), (high, low, total) in sums.items():
-        at = np.flatnonzero(total[:, 0])
-        mean = (high[at].astype(np.float64) * (1 << 20) + low[at]) / total[at] / UNIT
-        packed = [pa.array([v.tobytes()], pa.binary()) for v in ((at + chunk * _CHUNK).astype(np.int32), total[at, 0], mean.astype(np.float32))]
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), *packed], names=["kind", "chunk", "ids", "n", "rows"])
-
-
-def _average(rows: DataFrame, otherwise: Model) -> Model:
-    """The averaged model; what no task has met stays as it was."""
-    out = Model(otherwise.words, otherwise.flat.copy(), otherwise.tail.copy())
-    tables = [out.flat[:, None], out.tail.embed, out.tail.node]
-    for batch in rows.repartition("kind", "chunk").mapInArrow(_means, _ROWS).toArrow().to_batches():
-        for kind, _, ids, _, means in _unpacked(batch):
-            tables[kind][ids] = means
-    return out
-
-
-def warm_texts(slim: DataFrame) -> list[DataFrame]:
-    """Distinct texts to start from: a first sample for one task and, in a large corpus, one that grows with it."""
-    hashed = slim.select("text", F.xxhash64("text").alias("h"))
-    n = hashed.select("h").distinct().count()
-    # Twice as many are drawn as wanted, so that ordering them takes little of each task, whatever the corpus.
-    step = max(1, n // (2 * WARM_DOCS))
-    drawn = hashed.where(F.pmod("h", F.lit(step)) == 0).distinct()
-    out = [drawn.orderBy("h", "text").limit(WARM_DOCS).select("text").repartition(1)]
-    if n > WARM_SHARE * WARM_DOCS:
-        some = hashed.where(F.pmod("h", F.lit(WARM_SHARE)) == WARM_SHARE - 1).distinct()
-        out.append(some.repartition(n // (WARM_SHARE * WARM_DOCS), "h").sortWithinPartitions("h", "text").select("text"))
+        for chunk, n, part in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n", "part")), strict=True):
+            values = np.frombuffer(part, np.float32)
+            high, low, total = sums.setdefault(chunk, np.zeros((3, len(values)), np.int64))
+            fixed = np.rint(np.clip(values.astype(np.float64), -1000, 1000) * UNIT).astype(np.int64)
+            high += fixed * (n >> 20)  # two limbs, so that no sum overflows
+            low += fixed * (n & (1 << 20) - 1)
+            total += n
+    for chunk, (high, low, total) in sums.items():
+        mean = (high.astype(np.float64) * (1 << 20) + low) / total / UNIT
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([int(total[0])], pa.int64()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "n", "part"])
+
+
+def _averaged(rows: DataFrame, otherwise: np.ndarray) -> np.ndarray:
+    """The averaged network; the given one if no shard had a window."""
+    out = otherwise.copy()
+    for batch in rows.repartition("chunk").mapInArrow(_means, _ROWS).toArrow().to_batches():
+        for chunk, part in zip(batch.column("chunk").to_pylist(), batch.column("part").to_pylist(), strict=True):
+            values = np.frombuffer(part, np.float32)
+            out[chunk * _CHUNK : chunk * _CHUNK + len(values)] = values
     return out
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of all documents."""
-    slim = docs.where("text is not null").select("text")
-    words, tail = vocabulary(slim)
-    model = Model(words, start(), tail)
-    send = docs.sparkSession.sparkContext.broadcast
-    for texts, rate in zip(warm_texts(slim), (0.02, 0.01), strict=False):
-        model = _average(texts.mapInArrow(_train(send(model), rate, epochs=2), _ROWS), model)
-    return _average(slim.mapInArrow(_train(send(model), 0.004), _ROWS), model)
+    """A model of all documents ``(doc_id, text)``."""
+    known = docs.where("text is not null").select("doc_id", "text")
+    model, n = vocabulary(known), known.count()
+    hashed = known.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    parts, first = sum(size for size, _ in ROUNDS), 0
+    for size, rate in ROUNDS:
+        own = hashed.where(F.pmod(F.shiftrightunsigned("h", 32), F.lit(parts)).between(first, first + size - 1))
+        shards = max(1, math.ceil(n * size / parts / SHARD_DOCS))
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+        trained = own.repartition(shards, "h").sortWithinPartitions("h", "text").mapInArrow(_train(sent, rate), _ROWS)
+        model = Model(model.words, model.share, model.spelling, _averaged(trained, model.flat))
+        sent.unpersist()
+        first += size
+    return model
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, network = Vocabulary(model.value.words), Network(model.value.flat, model.value.tail)
+        lookup, network = Vocabulary(model.value.words), Network(model.value.flat)
         for batch in batches:
             for block in _blocks(batch.column("text")):
-                tokens, around = lookup.windows(block)
+                tokens, around, places = lookup.windows(block)
                 parts = [network.run(tokens[a : a + BATCH], around[a : a + BATCH]) for a in range(0, len(tokens), BATCH)]
-                sums = np.concatenate([[0], np.cumsum(np.concatenate(parts).astype(np.float64))]) if parts else np.zeros(1)
+                own = np.concatenate(parts).astype(np.float64) + within(block, tokens, places, model.value) if parts else np.zeros(0)
                 count = np.diff(block.bounds)
-                total = sums[block.bounds[1:]] - sums[block.bounds[:-1]]
+                total = np.bincount(block.docs_of_words(), own, block.n_docs).astype(np.float64)
                 mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n_docs), pa.array(count, pa.int64()), pa.array(np.where(count > 0, total, 0.0)), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n_docs), pa.array(count, pa.int64()), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
     return run
 

@@ -331,46 +331,67 @@ def test_pseudo_likelihood_gradient():
     assert abs(np.exp(scores).sum() - 1) < 1e-3
 
 
-def test_pseudo_likelihood_tells_frequent_words_apart(spark):
-    """Beyond the 896 most frequent words: a word of its own keeps its identity, and the probabilities sum to 1."""
-    n = pll.WORDS + 400
-    texts = [(i, " ".join(f"w{j}end" for j in range(k, n, 50) for _ in range(1 + (j < pll.WORDS)) for _ in range(12))) for i, k in enumerate(range(50))]
-    texts.append((99, "w1end rareend"))
-    # Two words of one ending, of which one occurs far more often.
-    texts.append((100, "bigxyz " * 400 + "tinyxyz " * 11))
-    table = spark.createDataFrame(texts, "doc_id long, text string")
+def plain_likelihood(model, text):
+    """A text's score word by word, straight from the definition."""
+    import re
+
+    import pyarrow as pa
+
+    p = pll.unpack(model.flat.astype(np.float64))
+    place = {int(k): i for i, k in enumerate(model.words)}
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", plain.lower(text))
+    keys = [int(pll._keys(next(pll._blocks(pa.array([w]))))[0]) for w in words]
+    near = [place[k] if place.get(k, pll.WORDS) < pll.WORDS else pll.WORDS + (k & 127) for k in keys]
+    padded = [pll.PADDING] * 2 + near + [pll.PADDING] * 2
+    total = 0.0
+    for i, (word, key) in enumerate(zip(words, keys, strict=True)):
+        token = near[i] if key in place else pll.SPELLED
+        x = np.concatenate([p["embed"][padded[i + 2 + j]] for j in (-2, -1, 1, 2)])
+        hidden = np.tanh(x @ p["inner"] + p["bias"])
+        c, m = divmod(token, 32)
+        for weights, bias, at in ((p["classes"], p["class_bias"], c), (p["members"][c], p["member_bias"][c], m)):
+            logits = weights @ hidden + bias
+            total += logits[at] - np.log(np.exp(logits).sum())
+        if key not in place:
+            chain = [0, *(b + 1 for b in word.encode()), 0]
+            total += sum(model.spelling[257 * a + b] for a, b in zip(chain, chain[1:], strict=False))
+        elif place[key] >= pll.WORDS:
+            total += model.share[place[key] - pll.WORDS]
+    return len(words), total
+
+
+def test_pseudo_likelihood_word_by_word(spark, docs, odd, rows):
+    """Every kind of word against the plain loop; rows with null ids, repeated rows and clashing columns."""
+    many = [(1000 + i, " ".join(f"w{j}" for j in range(i, 1500, 7))) for i in range(14)]
+    table = spark.createDataFrame([*pairs(rows), *many], "doc_id long, text string")
     model = pll.train(table)
-    assert len(model.words) == n + 2
-    probe = spark.createDataFrame([(1, "w1200end"), (2, "w1290end"), (3, "unseenend")], "doc_id long, text string")
-    found = {r.doc_id: r.log_likelihood for r in pll.scores(probe, model).collect()}
-    assert len(set(found.values())) == 3
-    network = pll.Network(model.flat, model.tail)
-    tokens = np.concatenate([np.arange(pll.PADDING), pll.FIRST + np.arange(len(model.tail))])
-    around = np.tile(np.array([[0, pll.FIRST, pll.PADDING, pll.FIRST + 5]]), (len(tokens), 1))
-    assert abs(np.exp(network.run(tokens, around).astype(np.float64)).sum() - 1) < 1e-3
-    _, _ = network.run(tokens, around, gradient=True)
-    ids, _, slope = network.slopes[1]
-    for k in (0, len(ids) // 2, len(ids) - 1):
-        ends = []
-        for step in (1e-2, -1e-2):
-            moved = model.tail.copy()
-            moved.node[ids[k], pll.HIDDEN] += step
-            ends.append(pll.Network(model.flat, moved).run(tokens, around).astype(np.float64).sum())
-        assert abs((ends[0] - ends[1]) / 2e-2 - slope[k, pll.HIDDEN]) < 0.05 * max(1, abs(slope[k, pll.HIDDEN]))
-
-
-def test_pseudo_likelihood_warms_up_on_distinct_texts(spark, monkeypatch):
-    texts = [("one large group of copies",)] * 3000 + [(f"text {i}",) for i in range(700)]
-    table = spark.createDataFrame(texts, "text string")
-    first = [r.text for d in pll.warm_texts(table) for r in d.collect()]
-    assert len(first) == len(set(first)) == 701
-    monkeypatch.setattr(pll, "WARM_DOCS", 2)
-    sizes = []
-    for n in (150, 700):
-        few, more = pll.warm_texts(table.where(F.col("text").startswith("text")).limit(n))
-        assert few.count() <= 2
-        sizes.append(more.count())
-    assert sizes[1] > sizes[0] and sizes[1] > 10
+    assert len(model.words) > pll.WORDS and abs(np.exp(model.share).sum() - len({int(k) & 127 for k in model.words[pll.WORDS :]})) < 1e-6
+    for frame, given in ((table, [*pairs(rows), *many]), odd):
+        clashing = frame.withColumn("n_tokens", F.lit("x")).withColumn("word", F.lit(1)).withColumn("h", F.lit(2))
+        found = got(pll.scores(clashing, model), "doc_id", "n_tokens", "log_likelihood")
+        expected = sorted(((d, *plain_likelihood(model, t)) for d, t in given), key=lambda r: repr(r[:2]))
+        for (d, n, score), (e, m, other) in zip(sorted(found, key=lambda r: repr(r[:2])), expected, strict=True):
+            assert (d, n) == (e, m)
+        assert np.allclose(sorted(r[2] for r in found), sorted(r[2] for r in expected), rtol=1e-4, atol=1e-2)
+    assert abs(np.exp(model.spelling.reshape(257, 257)).sum(1) - 1).max() < 1e-9
+
+
+def test_pseudo_likelihood_does_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(pll, "SHARD_DOCS", 20)
+    rng = random.Random(8)
+    texts = [(i if i % 9 else None, sentence(rng, rng.choice(list(LANGS)), 40)) for i in range(120)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    one, many = (got(pll.scores(table.repartition(n, "text")), "doc_id", "log_likelihood") for n in (1, 7))
+    assert one == many
+
+
+def test_pseudo_likelihood_knows_words_counted_twice(spark):
+    """A text that occurs twice is likelier than its like that occurs once."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    texts = [(i, " ".join(word() for _ in range(60))) for i in range(60)]
+    found = {r.doc_id: r.mean_log_likelihood for r in pll.scores(spark.createDataFrame([*texts, *((100 + i, t) for i, t in texts[:6])], "doc_id long, text string")).collect()}
+    assert min(found[i] for i in range(6)) > max(found[i] for i in range(6, 60))
 
 
 def test_unlearned_scripts_are_not_accepted(spark):
