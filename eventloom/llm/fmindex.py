@@ -2,8 +2,9 @@
 
 The sequences stand end to end, each with a terminator of its own (smaller than every word, in the order of the
 sequences), so suffixes never compare beyond their sequence. The Burrows-Wheeler transform is kept as a wavelet matrix:
-one packed bit vector for each bit of the word numbers, with a count for each 64 bits. Backward search runs for all
-patterns at once.
+one packed bit vector for each bit of the word numbers, with a count for each 64 bits. Neither the text nor the suffix
+array is kept, only the owner of each suffix, as minima over runs of powers of two. Backward search runs for all patterns
+at once.
 """
 
 from __future__ import annotations
@@ -51,16 +52,15 @@ class Wavelet:
 
 
 class FMIndex:
-    def __init__(self, words: np.ndarray, lengths: np.ndarray):
-        """``words``: numbers from 0, the sequences end to end; ``lengths``: words of each sequence."""
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, owners: np.ndarray):
+        """``words``: numbers from 0, the sequences end to end; ``lengths``: words of each sequence; ``owners``: a number
+        for each sequence."""
         n, self.size = len(lengths), int(words.max()) + 1 if len(words) else 1
         starts = np.cumsum(lengths) - lengths + np.arange(n)
-        self.starts = starts
         text = np.full(len(words) + n, -1, np.int64)
         text[np.arange(len(words)) + np.repeat(np.arange(n), lengths)] = words
-        ends = starts + lengths
         rank = text + n
-        rank[ends] = np.arange(n)
+        rank[starts + lengths] = np.arange(n)
         step = 1
         while True:  # prefix doubling: order by the first 2, 4, 8, ... symbols
             after = np.zeros(len(rank), np.int64)
@@ -70,26 +70,51 @@ class FMIndex:
             if len(rank) == 0 or rank.max() == len(rank) - 1:
                 break
             step *= 2
-        self.text = text
-        self.order = np.argsort(rank)  # the suffix array
-        self.transform = Wavelet(text[self.order - 1] + 1, self.size + 1)
+        order = np.argsort(rank)  # the suffix array
+        self.length = len(order)
+        self.transform = Wavelet(text[order - 1] + 1, self.size + 1)
         self.first = n + np.concatenate([[0], np.cumsum(np.bincount(words, minlength=self.size))])
-
-    def intervals(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix-array interval of each pattern ``text[at:at + n]``, by ``n`` steps of backward search."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
-        for j in range(n - 1, -1, -1):
-            c = self.text[at + j]
-            low = self.first[c] + self.transform.rank(c + 1, low)
-            high = self.first[c] + self.transform.rank(c + 1, high)
-        return low, high
-
-    def least(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The least value (one for each sequence) over the suffixes of each interval."""
-        own = values[np.searchsorted(self.starts, self.order, side="right") - 1]
-        first, which = np.unique(low, return_inverse=True)
-        last = np.zeros(len(first), np.int64)
-        last[which] = high
-        edges = np.stack([first, last], 1).reshape(-1)
-        padded = np.append(own, np.iinfo(np.int64).max)
-        return np.minimum.reduceat(padded, edges)[::2][which] if len(first) else np.zeros(0, np.int64)
+        self.minima = [np.asarray(owners)[np.searchsorted(starts, order, side="right") - 1]]
+        while 2 << (len(self.minima) - 1) <= len(order):
+            half, low = 1 << (len(self.minima) - 1), self.minima[-1]
+            self.minima.append(np.minimum(low[:-half], low[half:]))
+
+    def extend(self, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix-array intervals of the patterns with one more word on their left."""
+        return self.first[words] + self.transform.rank(words + 1, low), self.first[words] + self.transform.rank(words + 1, high)
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least owner in each (not empty) interval."""
+        out = np.zeros(len(low), self.minima[0].dtype)
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.minima[k][low[at]], self.minima[k][high[at] - (1 << k)])
+        return out
+
+    def statistics(self, words: np.ndarray, lengths: np.ndarray, owners: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of streamed sequences: (sequence, last word, words of the longest match that ends there).
+
+        A match stands in a sequence with a smaller owner. Only matches of at least ``least`` words are given.
+        """
+        starts = np.cumsum(lengths) - lengths
+        counts = np.maximum(lengths - least + 1, 0)
+        which = np.repeat(np.arange(len(lengths)), counts)
+        last = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + least - 1
+        out, todo = np.zeros(len(which), np.int64), np.arange(len(which))
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), self.length, np.int64)
+        matched = 0
+        while len(todo):
+            c = words[starts[which[todo]] + last[todo] - matched]
+            known = c < self.size
+            todo, low, high, c = todo[known], low[known], high[known], c[known]
+            low, high = self.extend(c, low, high)
+            matched += 1
+            ok = high > low
+            if matched >= least:
+                ok[ok] = self.least(low[ok], high[ok]) < owners[which[todo[ok]]]
+                out[todo[ok]] = matched
+            ok &= last[todo] >= matched
+            todo, low, high = todo[ok], low[ok], high[ok]
+        found = np.flatnonzero(out)
+        return which[found], last[found], out[found]

@@ -3,15 +3,16 @@
 A window is ``n`` consecutive words of a document. A word goes if a window that covers it also starts in a document with
 a smaller id.
 
-1. Later copies of equal texts are set aside: all their windows have been seen.
+1. Later copies of equal texts (by SHA-256) are set aside: all their windows have been seen.
 2. Each window has a *minimiser*, the word 5-gram in it with the least hash; equal windows have equal minimisers. Only
    minimisers found in several documents can belong to a repeat. They are counted over the whole corpus; about a fifth
    of the positions are minimisers, so this shuffles far less than all windows would.
 3. Runs of windows around one such minimiser become *pieces* (at most 21 words). Equal pieces are merged, keeping the
    smallest document id, before they are dealt to shards by their minimiser, which brings equal windows together.
    The windows of a minimiser in very many documents become pieces of their own, so that no shard grows with it.
-4. Each shard builds an FM-index of its pieces, streams their windows through it by backward search and reports the
-   smallest document of each interval.
+4. Each shard builds an FM-index of its pieces and streams them through it: backward search gives, for each last word,
+   the longest match that stands in a smaller document (matching statistics). Matches of ``n`` words or more are kept.
+   Words of a shard are told apart by their bytes.
 5. Documents that hold a window of a smaller document's lose those words.
 
 Edge cases: null and empty texts have no words; documents of fewer than ``n`` words lose nothing; windows repeated
@@ -154,18 +155,20 @@ def _pieces(n: int, tables):
 def _shard(n: int):
     def run(table: pa.Table) -> pa.Table:
         pieces = table["piece"].combine_chunks().cast(pa.large_binary())
-        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
-        data = np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        text = pa.Array.from_buffers(pa.large_string(), len(pieces), [None, pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data.tobytes())])
+        data, offsets = textblock.as_bytes(pieces)
+        text = pa.Array.from_buffers(pa.large_string(), len(pieces), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
         block = next(textblock.blocks(text, textblock.word_table(b" "), limit=1 << 62))
-        _, words = np.unique(block.hashes(), return_inverse=True)
-        lengths = np.diff(block.bounds)
-        index = FMIndex(words.reshape(-1), lengths)
-        counts = lengths - n + 1
-        at = np.repeat(index.starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-        least = index.least(*index.intervals(at, n), np.asarray(table["doc"]))
-        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return pa.table([table["key"], table["pid"], pa.ListArray.from_arrays(pa.array(bounds), pa.array(least))], names=["key", "pid", "least"])
+        words, lengths = block.distinct()[0].astype(np.int64), np.diff(block.bounds)
+        owners = np.unique(np.asarray(table["doc"]), return_inverse=True)[1].reshape(-1).astype(np.int32)
+        which, last, size = FMIndex(words, lengths, owners).statistics(words, lengths, owners, n)
+        # the windows within a match, as their first words; a window in several matches is given once
+        counts = size - n + 1
+        piece = np.repeat(which, counts)
+        at = np.repeat(last - size + 1, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        found = np.unique(piece * (1 << 32) + at)
+        bounds = np.searchsorted(found >> 32, np.arange(len(pieces) + 1)).astype(np.int32)
+        gone = pa.ListArray.from_arrays(pa.array(bounds), pa.array((found & 0xFFFFFFFF).astype(np.int32)))
+        return pa.table([table["key"], table["pid"], table["doc"], pa.array(lengths - n + 1, pa.int32()), gone], names=["key", "pid", "doc", "windows", "own"])
 
     return run
 
@@ -202,12 +205,12 @@ def _cut(n: int, with_text: bool):
     return run
 
 
-def windows(docs: DataFrame, n: int) -> DataFrame:
+def windows(docs: DataFrame, n: int, work: shared.Work) -> DataFrame:
     """``docs(doc_id, text, tid)``, texts distinct: doc_id, tid, gone (first words of windows of smaller documents)."""
     spark = docs.sparkSession
     keys = docs.mapInArrow(_keys(n), "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
     seen = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("a < b")
-    seen = shared.written(seen.select("key", (F.col("c") > HOT_DOCS).alias("hot")), "minimisers")
+    seen = work.written(seen.select("key", (F.col("c") > HOT_DOCS).alias("hot")), "minimisers")
     schema = "doc_id long, tid long, start int, key long, piece binary"
     if seen.count() <= BROADCAST_KEYS:
         rows = seen.toArrow()
@@ -217,27 +220,36 @@ def windows(docs: DataFrame, n: int) -> DataFrame:
     else:
         own = keys.join(seen, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
         pieces = docs.join(own, "doc_id").mapInArrow(_pieces(n, None), schema)
-    pieces = shared.written(pieces.withColumn("pid", F.xxhash64("piece")), "pieces")
+    pieces = work.written(pieces.withColumn("pid", _print("piece")), "pieces")
     merged = pieces.groupBy("key", "pid").agg(F.min(F.struct("doc_id", "piece")).alias("m"))
     merged = merged.select("key", "pid", F.col("m.doc_id").alias("doc"), F.col("m.piece").alias("piece"))
     shards = max(1, math.ceil(pieces.count() / SHARD_PIECES))
-    least = merged.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(n), "key long, pid long, least array<long>")
-    found = pieces.select("doc_id", "tid", "start", "key", "pid").join(least, ["key", "pid"])
-    gone = F.expr("filter(transform(least, (m, i) -> if(m < doc_id, start + i, -1)), i -> i >= 0)")
-    found = found.select("doc_id", "tid", gone.alias("gone")).where(F.size("gone") > 0)
-    return found.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    dealt = merged.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard")
+    found = dealt.applyInArrow(_shard(n), "key long, pid binary, doc long, windows int, own array<int>")
+    rows = pieces.select("doc_id", "tid", "start", "key", "pid").join(found, ["key", "pid"])
+    # A piece is whole in the smallest document that has it; only that one needs to look for others.
+    gone = F.when(F.col("doc_id") > F.col("doc"), F.sequence(F.lit(0), F.col("windows") - 1)).otherwise(F.col("own"))
+    rows = rows.select("doc_id", "tid", F.transform(gone, lambda i: i + F.col("start")).alias("gone")).where(F.size("gone") > 0)
+    return rows.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+
+
+def _print(column: str) -> F.Column:
+    """Half of the SHA-256 of a column, as bytes."""
+    return F.unhex(F.substring(F.sha2(column, 256), 1, 32))
 
 
 def remove(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, unless ``digest_only``, kept: the words left, joined by a space."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid"))
+    work = shared.Work(docs.sparkSession)
     known = rows.where("doc_id is not null and text is not null")
-    hashed = known.select("doc_id", F.unhex(F.md5("text")).alias("h"))
+    hashed = known.select("doc_id", _print("text").alias("h"))
     oldest = hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = shared.written(hashed.join(oldest, "h").where("doc_id > first").select("doc_id", "h").distinct(), "copies")
-    marked = known.withColumn("h", F.unhex(F.md5("text")))
+    marked = known.withColumn("h", _print("text"))
     fresh = marked.join(small(copies), ["doc_id", "h"], "left_anti").select("doc_id", "text", "tid")
-    gone = shared.written(windows(fresh, n), "gone")
+    gone = shared.written(windows(fresh, n, work), "gone")
+    work.clear()
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ("" if digest_only else ", kept string")
     # Texts that lose nothing are not shuffled, and copies lose all windows (hence all words, if they have a window).
     ids = small(gone.select("doc_id", "tid"))

@@ -103,8 +103,12 @@ def redacted(text):
     return text if not spans else "".join(out) + text[at:]
 
 
+def leak_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
 def leaks(docs, items, n=8):
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    words = leak_words
     windows = {}
     for i, t in items:
         w = words(t)
@@ -122,6 +126,22 @@ def leaks(docs, items, n=8):
     return out
 
 
+def longest_leak(text, items, n=8):
+    """(words of the longest verbatim match that holds a window, the words where it may start)."""
+    w, best, at = leak_words(text), 0, set()
+    for _, t in items:
+        v = leak_words(t)
+        for a in range(len(w)):
+            for b in range(len(v)):
+                k = 0
+                while a + k < len(w) and b + k < len(v) and w[a + k] == v[b + k]:
+                    k += 1
+                if k >= min(n, len(v)) and k >= best:
+                    at = {a} if k > best else {*at, a}
+                    best = k
+    return best, at
+
+
 def repeats(docs, n=13):
     first, out = {}, []
     rows = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in docs]

@@ -251,18 +251,126 @@ def test_repeats(docs, odd, none, rows, monkeypatch):
 
 
 def test_fm_index():
+    """Intervals, least owners and matching statistics against plain search."""
     rng = np.random.default_rng(2)
-    lengths = rng.integers(1, 22, 200)
-    words = rng.integers(0, 5, lengths.sum())
-    index, values = fmindex.FMIndex(words, lengths), rng.integers(0, 1000, 200)
+    lengths = rng.integers(0, 22, 120)
+    words, owners = rng.integers(0, 5, lengths.sum()), rng.integers(0, 40, 120).astype(np.int32)
+    index = fmindex.FMIndex(words, lengths, owners)
     texts = ["".join(map(str, words[a - n : a])) for a, n in zip(np.cumsum(lengths), lengths, strict=True)]
-    at = np.concatenate([s + np.arange(n - 3) for s, n in zip(index.starts, lengths, strict=True) if n > 3])
-    low, high = index.intervals(at, 4)
-    least = index.least(low, high, values)
-    for a, lo, hi, v in zip(at[::7], low[::7], high[::7], least[::7], strict=True):
-        pattern = "".join(map(str, index.text[a : a + 4]))
-        assert hi - lo == sum(t[i : i + 4] == pattern for t in texts for i in range(len(t)))
-        assert v == min(x for t, x in zip(texts, values, strict=True) if pattern in t)
+    for pattern in ("0123", "41", "3", "00000"):
+        low, high = np.zeros(1, np.int64), np.full(1, index.length)
+        for c in reversed(pattern):
+            low, high = index.extend(np.array([int(c)]), low, high)
+        where = [x for t, x in zip(texts, owners, strict=True) for i in range(len(t)) if t.startswith(pattern, i)]
+        assert max(0, int(high[0] - low[0])) == len(where)
+        assert not where or index.least(low, high)[0] == min(where)
+    asked = ["0123401234", "", "77", *texts[:40]]
+    own = np.array([50, 50, 50, *owners[:40]], np.int32)
+    flat = np.array([int(c) for t in asked for c in t])
+    got_ = list(zip(*(x.tolist() for x in index.statistics(flat, np.array([len(t) for t in asked]), own, 3)), strict=True))
+    expected = []
+    for i, t in enumerate(asked):
+        for e in range(len(t)):
+            sizes = [k for k in range(3, e + 2) if any(t[e + 1 - k : e + 1] in u for u, x in zip(texts, owners, strict=True) if x < own[i])]
+            expected += [(i, e, max(sizes))] if sizes else []
+    assert sorted(got_) == expected
+
+
+def test_longest_common_runs():
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 200):
+        own, others = (rng.integers(-1, 3, size) for _ in range(2))
+        best, where = leaks.longest(own, others)
+        for i in range(size):
+            runs = [next((k for k in range(size) if i + k >= size or j + k >= size or own[i + k] < 0 or own[i + k] != others[j + k]), size - max(i, j)) for j in range(size)]
+            assert best[i] == max(runs) and (not best[i] or runs[where[i]] == best[i])
+    same_ = np.zeros(100_000, np.int64)
+    assert leaks.longest(same_, same_)[0][0] == 100_000
+
+
+def test_leak_locations(spark):
+    """The longest match goes on past windows that stand in several items, and its places are given."""
+    w = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(w[:9])), (2, " ".join([*w[30:34], *w[:13]])), (None, " ".join(w[40:60])), (3, "w1 w1 w1")]
+    docs = [(1, " ".join(["x", *w[:13], "y", *w[:9]])), (2, " ".join(w[:9])), (3, " ".join(["z z", *w[41:55]])), (4, "w1 w1 w1 w1"), (5, "nothing")]
+    found = leaks.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    for r in found:
+        text = dict(docs)[r.doc_id]
+        size, at = plain.longest_leak(text, items)
+        assert r.leak_longest == size and (r.leak_where is None) == (size == 0), r
+        if size:
+            assert r.leak_where.doc_word == min(at)
+            item = next(t for i, t in items if (None if i is None else str(i)) == r.leak_where.item)
+            own, other = plain.leak_words(text), plain.leak_words(item)
+            assert own[r.leak_where.doc_word :][:size] == other[r.leak_where.item_word :][:size]
+
+
+def twins():
+    """Two words of 1,024 letters that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart(spark):
+    one, two = twins()
+    same_ = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"\n{one}\n{two}\n"), (2, f"p q {one}"), (3, f"p q {two}"), (4, f"{same_} {one}"), (5, f"{same_} {two}"), (6, f"{same_} {two} {one}")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), [(1, f"a b c d e f g {one}"), (2, two)]
+    docs = docs.union(spark.createDataFrame([(7, f"a b c d e f g {two}")], docs.schema))
+    rows.append((7, f"a b c d e f g {two}"))
+    same(bpe.digests(docs, RANKS), plain.codec(rows), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    path = shared.fresh(spark, "twins")
+    tokenfile.write(docs, path, JSON)
+    same(tokenfile.summary(spark, path), plain.token_files(rows), "doc_id", "start", "n_tokens", "ids_crc32")
+    same(jaccard.classes(docs), plain.classes(rows, 3, 90, 100), "doc_id", "n_shingles", "component_id")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    same(leaks.report(docs, bench), plain.leaks(rows, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    same(repeats.remove(docs), plain.repeats(rows), "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def test_very_long_texts(spark):
+    """Texts beyond every block, slice and shard; one of them a single word."""
+    rng = random.Random(9)
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(450_000)]
+    long_ = " ".join(words)
+    assert len(long_) > 2 << 20
+    rows = [(1, long_), (2, f"new {long_}"), (3, "z" * 3_000_000), (4, " ".join(words[1000:1040])), (5, "short text"), (6, None), (7, "")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), [(1, " ".join(words[200_000:260_000])), (2, "short")]
+    same(bpe.digests(docs, RANKS), plain.codec(rows), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    same(jaccard.classes(docs), plain.classes(rows, 3, 90, 100), "doc_id", "n_shingles", "component_id")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = leaks.report(docs, bench)
+    same(found, plain.leaks(rows, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert dict(got(found, "doc_id", "longest"))[2] == 60_000
+    same(repeats.remove(docs), plain.repeats(rows), "doc_id", "n_words", "n_removed", "kept_sha256")
+    private = [(1, ("mail a.b@c.de, 10.0.0.1 and " * 3000)), (2, "1" * 3000), (3, "+" * 3000)]
+    same(pii.report(spark.createDataFrame(private, "doc_id long, text string")), plain.private_report(private), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def test_token_files_hold_runs_indexes_and_filters(spark, tmp_path):
+    """The stripes' footers: run-length encoded ids, row indexes, a Bloom filter on the document id; lookups skip."""
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(7 * i, sentence(rng, "en", 5)) for i in range(9000)], "doc_id long, text string").coalesce(1)
+    path = shared.fresh(spark, "orc")
+    tokenfile.write(docs, path, JSON)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in where.getFileSystem(conf).listStatus(where) if f.getPath().getName().endswith(".orc")]
+    filters = runs = 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 2000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = [(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()]
+            filters += (1, "BLOOM_FILTER_UTF8") in kinds
+            assert (1, "ROW_INDEX") in kinds
+            runs += footer.getColumns(6).getKind().toString() == "DIRECT_V2"
+    assert filters == runs >= len(files) >= 1
+    assert [r.doc_id for r in tokenfile.lookup(spark, path, [700, 701]).collect()] == [700]
+    plan = tokenfile.lookup(spark, path, [700])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(doc_id, [700])]" in plan or "EqualTo(doc_id,700)" in plan
 
 
 def test_language(docs, odd, none, rows):
