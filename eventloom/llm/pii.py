@@ -4,18 +4,25 @@
 pattern by ``regexp_extract_all`` and ``split``; running sums of their lengths are the places. The patterns are written
 so that the regex engine needs no recursion and linear time on long runs.
 
-**Bootstrapping.** A *pattern* is the word left of a span, for a kind; an *instance* is a base span of any kind, with all
-of its words, or a token that looks like an identifier (it holds a digit or ``@``) and touches no base span. A token that
-a span is part of stands for its first span. The corpus gives a graph of patterns and instances with counts. A pattern's
-score is the mean confidence of what follows it (any word that is no instance counts 0), an instance's the mean score of
-the patterns before it; seeds keep confidence 1. After ``ROUNDS`` rounds, patterns of at least ``LEAST_SCORE`` with
-``LEAST_SEEDS`` different seeds label the unseen instances after them. Discovered spans that touch a seed's are dropped.
+**Bootstrapping.** A *pattern* is what stands left of a span (a word, with the word before it if it is only ``=`` or ``:``),
+or that word and the one right of the span. An *instance* is a base span with all of its words, or a token that looks like an identifier (it
+holds a digit or ``@``) and touches no base span. A token that a span is part of stands for its first span. Instances
+that look like keys (:data:`KEY`) seed a fifth kind, ``secret``, but their shape alone makes no span. The corpus gives a
+graph of patterns and instances with counts. In each round
+
+1. a pattern's score for a kind is the mean confidence of what stands there: 1 for seeds and accepted instances of
+   the kind, the mean score of its patterns for an open instance, 0 for anything else;
+2. patterns of at least ``LEAST_SCORE`` with ``LEAST_SEEDS`` different seeds or accepted instances are accepted;
+3. open instances of accepted patterns are accepted, and so induce further patterns.
+
+Rounds go on until nothing more is accepted. Then all unseen instances in accepted patterns are spans; those that
+touch a base span are dropped.
 
 Only counts are shuffled. Patterns are joined by a shuffle unless counted to be few.
 
 Edge cases: null and empty texts have no spans; spans of one kind never overlap; places count code points; null ids and
-repeated rows are kept as they are; an empty table gives no rows. Texts are used whole; further columns pass through
-:func:`redact` and are ignored by :func:`report`.
+repeated rows are kept as they are; equal scores go to the alphabetically last kind; an empty table gives no rows. Texts
+are used whole; further columns, whatever their names, pass through :func:`redact` and are ignored by :func:`report`.
 """
 
 from __future__ import annotations
@@ -26,7 +33,6 @@ from pyspark.sql import functions as F
 from . import shared
 from .jaccard import small
 
-ROUNDS = 3
 LEAST_SEEDS = 5
 LEAST_SCORE = 0.8
 #: The shapes, in the order of their kinds, as possessive patterns that match the same strings.
@@ -44,9 +50,14 @@ _ASCII = "".join(map(chr, range(0x20, 0x7F)))
 _MARKS = ["".join(chr(_PRIVATE + 0x100 * i + ord(c)) for c in _ASCII) for i in range(len(KINDS))]
 _ANY_MARK = f"{_MARKS[0][0]}-{_MARKS[-1][-1]}"
 _MARKED = "|".join(f"[{m[0]}-{m[-1]}]++" for m in _MARKS)
-_TOKEN = rf"(?<!\S)(\S++)(?=(\s++)((?=[^\s0-9@{_ANY_MARK}]*+[0-9@{_ANY_MARK}])\S++))"
-_LEADING = r"^[(\[<{\"'`*]+"
-_TRAILING = r"[)\]>}\"'`*.,;:!?]+$"
+_SIGN = r"[=:]++"
+_LEFT = rf"\S++\s++{_SIGN}(?=\s)|\S++"
+_TOKEN = rf"(?<!\S)({_LEFT})(?=(\s++)((?=[^\s0-9@{_ANY_MARK}]*+[0-9@{_ANY_MARK}])\S++)(?:\s++(\S++))?)"
+_LEADING = r"^[(\[<{\"'`*#$%&]+"
+_TRAILING = r"[)\]>}\"'`*#$%&.,;:!?]+$"
+SECRET = "secret"
+#: What a key looks like: long, of letters and digits.
+KEY = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_+/=-]{20,}$"
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -76,9 +87,18 @@ def _keeps(kind: str):
     return lambda m: _valid(kind, m)
 
 
+_RUN = 256
+
+
 def _places(matches: Column, gaps: Column, keep) -> Column:
-    """The spans of those matches that ``keep``; ``gaps[i]`` stands before ``matches[i]``."""
-    empty = F.array().cast(_SPANS)
+    """The spans of those matches that ``keep``; ``gaps[i]`` stands before ``matches[i]``.
+
+    Arrays grow within runs of matches only, so that a text with very many does not take time with their square.
+    """
+    sizes = F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+    runs = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _RUN).cast("int"))
+    totals = F.transform(runs, lambda r: F.aggregate(F.slice(sizes, r * _RUN + 1, _RUN), F.lit(0), lambda s, x: s + x))
+    starts = F.aggregate(totals, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
 
     def step(s: Column, i: Column) -> Column:
         m = F.get(matches, i)
@@ -86,8 +106,12 @@ def _places(matches: Column, gaps: Column, keep) -> Column:
         end = start + F.length(m)
         return F.struct(end.alias("at"), F.when(keep(m), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(s["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda s: s["out"])
+    def run(begin: Column, r: Column) -> Column:
+        last = F.least((r + 1) * _RUN, F.size(matches)) - 1
+        first = F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("out"))
+        return F.aggregate(F.sequence(r * _RUN, last), first, step, lambda s: s["out"])
+
+    return F.flatten(F.transform(F.slice(starts, 1, F.size(starts) - 1), run))
 
 
 def seeds(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -138,68 +162,110 @@ def _trimmed(token: Column) -> Column:
 
 
 def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` (marked) with ``left, token, start``: a row for each identifier-like token that follows a word."""
+    """``df`` (marked) with ``left, both, token, start``: a row for each identifier-like token that follows a word."""
     text = F.col(text_col)
-    ready = df.withColumn("_l", F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)))
-    ready = ready.withColumns({"_w": F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(2)), "_t": F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(3)), "_g": F.split(text, _TOKEN, -1)})
-    ready = ready.withColumn("_p", _places(F.col("_l"), F.col("_g"), lambda m: F.lit(True)))
-    rows = ready.select(*df.columns, F.explode(F.arrays_zip("_l", "_w", "_t", "_p")).alias("c"))
+    ready = df.select("*", *[F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(i)).alias(c) for i, c in enumerate(("_l", "_w", "_t", "_r"), 1)], F.split(text, _TOKEN, -1).alias("_g"))
+    ready = ready.where(F.size("_l") > 0).withColumn("_p", _places(F.col("_l"), F.col("_g"), lambda m: F.lit(True)))
+    rows = ready.select(*df.columns, F.explode(F.arrays_zip("_l", "_w", "_t", "_r", "_p")).alias("c"))
     raw = F.col("c._t")
     start = F.col("c._p.end") + F.length("c._w") + F.length(raw) - F.length(F.regexp_replace(raw, _LEADING, ""))
-    return rows.select(*df.columns, F.lower("c._l").alias("left"), _trimmed(raw).alias("token"), start.alias("start")).where(F.length("token") > 0)
-
-
-def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``left, kind, score``: the words whose followers are identifiers of a kind, from all documents."""
-    slim = docs.select(F.col(text_col).alias("text"))
-    pairs = candidates(_marked(slim.where(F.col("text").rlike("[0-9@]")))).select("left", "token", _seed(F.col("token")).alias("seed"))
-    pairs = pairs.withColumn("token", F.when(F.col("seed").isNull(), F.col("token")).otherwise(F.regexp_extract("token", _MARKED, 0)))
-    graph = shared.written(pairs.groupBy("left", "token", "seed").agg(F.count(F.lit(1)).alias("n")), "graph")
-    known = graph.where("seed is not null").groupBy("left", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("seed_n")).where(F.col("seeds") >= LEAST_SEEDS)
-    known = shared.written(known, "known")
-    words = _marked(slim).select(F.explode(F.split(F.lower("text"), r"\s+")).alias("left")).join(small(known.select("left").distinct()), "left", "left_semi")
-    totals = words.groupBy("left").agg(F.count(F.lit(1)).alias("total"))
+    left = F.regexp_replace(F.lower("c._l"), r"\s+", " ")
+    both = F.when((F.col("c._r") != "") & ~left.contains(" "), F.concat_ws(" _ ", left, F.lower("c._r")))
+    return rows.select(*df.columns, left.alias("left"), both.alias("both"), _trimmed(raw).alias("token"), start.alias("start")).where(F.length("token") > 0)
+
+
+def _patterns_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each pattern next to a candidate."""
+    return rows.select(*columns, F.explode(F.array("left", "both")).alias("pattern")).where("pattern is not null")
+
+
+def graph_of(marked: DataFrame) -> DataFrame:
+    """``pattern, token, seed, n`` of marked texts."""
+    pairs = _patterns_of(candidates(marked.where(F.col("text").rlike(f"[0-9@{_ANY_MARK}]"))), "token").withColumn("seed", _seed(F.col("token")))
+    token = F.when(F.col("seed").isNull(), F.col("token")).otherwise(F.regexp_extract("token", _MARKED, 0))
+    seed = F.coalesce("seed", F.when(F.col("token").rlike(KEY), F.lit(SECRET)))
+    return pairs.select("pattern", token.alias("token"), seed.alias("seed")).groupBy("pattern", "token", "seed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _occurrences(marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``pattern, total``: how often each wanted pattern stands anywhere, with any word in its place."""
+    text = F.lower("text")
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    left = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    both = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(0))), lambda x, y: F.concat_ws(" _ ", x, y))
+    signs = F.transform(F.regexp_extract_all(text, F.lit(rf"(?<!\S)(\S++\s++{_SIGN})(?=\s++\S)"), F.lit(1)), lambda w: F.regexp_replace(w, r"\s+", " "))
+    rows = marked.where(F.col("text").isNotNull()).select(F.explode(F.concat(left, both, signs)).alias("pattern"))
+    return rows.join(small(wanted), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+
+
+def bootstrapped(edges: DataFrame, work: shared.Work) -> DataFrame:
+    """``pattern, kind, score`` of accepted patterns; ``edges(pattern, token, seed, n, total)``."""
+    accepted, before = work.written(edges.select("token", F.col("seed").alias("kind")).limit(0), "accepted"), -1
+    while True:
+        state = edges.join(accepted, "token", "left").withColumn("kind", F.coalesce("seed", "kind")).drop("seed")
+        state = work.written(state, "state")
+        kinds = state.where("kind is not null")
+        share = kinds.groupBy("pattern", "kind").agg((F.sum("n") / F.first("total")).alias("share"), F.count_distinct("token").alias("known"))
+        share = work.written(share, "share")
+        # An open instance has the mean of its patterns' scores.
+        open_ = state.where("kind is null").drop("kind")
+        mean = open_.join(share, "pattern").groupBy("token", "kind").agg(F.sum(F.col("n") * F.col("share")).alias("s"))
+        mean = mean.join(open_.groupBy("token").agg(F.sum("n").alias("all")), "token").select("token", "kind", (F.col("s") / F.col("all")).alias("confidence"))
+        more = open_.join(mean, "token").groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("confidence")) / F.first("total")).alias("more"))
+        scored = share.join(more, ["pattern", "kind"], "left").withColumn("score", F.col("share") + F.coalesce("more", F.lit(0.0)))
+        best = work.written(scored.where((F.col("score") >= LEAST_SCORE) & (F.col("known") >= LEAST_SEEDS)).select("pattern", "kind", "score"), "best")
+        found = edges.where("seed is null").join(best, "pattern").groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        accepted = work.written(found, "accepted")
+        after = accepted.count()
+        if after <= before or not after:
+            return best
+        before = after
+
+
+def patterns(docs: DataFrame, work: shared.Work, text_col: str = "text") -> DataFrame:
+    """``pattern, kind, score``: what stands next to identifiers of a kind, from all documents."""
+    marked = _marked(docs.select(F.col(text_col).alias("text")))
+    graph = work.written(graph_of(marked), "graph")
+    plausible = graph.groupBy("pattern").agg(F.count_distinct("token").alias("tokens"), F.sum("n").alias("instances")).where(F.col("tokens") >= LEAST_SEEDS)
+    plausible = work.written(plausible.select("pattern", "instances"), "plausible")
+    totals = _occurrences(marked, plausible.select("pattern"))
     # What cannot reach the score even with all of its instances at confidence 1 is left out of the graph.
-    most = graph.groupBy("left").agg(F.sum("n").alias("instances"))
-    hopeful = known.join(totals, "left").join(most, "left").where(F.col("instances") >= LEAST_SCORE * F.col("total"))
-    hopeful = shared.written(hopeful.select("left", "kind", "total"), "patterns")
-    edges = shared.written(graph.join(small(hopeful), "left").select("left", "kind", "token", "n", "total", F.when(F.col("seed").isNull(), 0.0).otherwise((F.col("seed") == F.col("kind")).cast("double")).alias("confidence"), F.col("seed").isNull().alias("open")), "edges")
-    score = None
-    for _ in range(ROUNDS):
-        score = edges.groupBy("left", "kind", "total").agg((F.sum(F.col("n") * F.col("confidence")) / F.first("total")).alias("score"))
-        mean = edges.where("open").join(score, ["left", "kind", "total"]).groupBy("token", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"))
-        edges = edges.join(mean, ["token", "kind"], "left").withColumn("confidence", F.when(F.col("open"), F.coalesce("mean", F.lit(0.0))).otherwise(F.col("confidence"))).drop("mean")
-        edges = shared.written(edges, "edges")
-    final = edges.groupBy("left", "kind").agg((F.sum(F.col("n") * F.col("confidence")) / F.first("total")).alias("score"))
-    return shared.written(final.where(F.col("score") >= LEAST_SCORE), "patterns")
+    hopeful = work.written(plausible.join(totals, "pattern").where(F.col("instances") >= LEAST_SCORE * F.col("total")).select("pattern", "total"), "hopeful")
+    edges = work.written(graph.join(small(hopeful), "pattern"), "edges")
+    return bootstrapped(edges, work)
 
 
 def discovered(docs: DataFrame, found: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """``key`` and ``extra``: spans (start, end, kind) of unseen identifiers after high-confidence patterns."""
-    best = found.groupBy("left").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    """``key`` and ``extra``: spans (start, end, kind) of unseen identifiers next to accepted patterns."""
+    best = found.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
     texts = docs.select(*key, F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]")).distinct()
     rows = candidates(_marked(texts)).drop("text")
-    rows = rows.where(_seed(F.col("token")).isNull()).join(small(best), "left")
+    rows = _patterns_of(rows.where(_seed(F.col("token")).isNull()), *key, "token", "start").join(small(best), "pattern")
+    rows = rows.groupBy(*key, "token", "start").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     span = F.struct("start", (F.col("start") + F.length("token")).alias("end"), "kind")
     return rows.groupBy(*key).agg(F.sort_array(F.collect_set(span)).alias("extra"))
 
 
-def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``pii_<kind>`` (seeds) and ``pii_spans``: all spans as (kind number, start, end, kind), sorted."""
+def spans(docs: DataFrame) -> DataFrame:
+    """``docs(..., text)``, without columns ``pii_*``, with ``pii_<kind>`` (seeds), ``pii_base`` and ``pii_spans``: all spans
+    as (kind number, start, end, kind), sorted."""
 
     def named(i: int, kind: str):
         return lambda s: F.struct(F.lit(i).alias("number"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
+    work = shared.Work(docs.sparkSession)
     base = [F.transform(f"pii_{k}", named(i, k)) for i, k in enumerate(KINDS)]
-    out = seeds(docs, text_col).withColumn("pii_base", F.concat(*base))
-    best = patterns(docs, text_col)
+    out = seeds(docs).withColumn("pii_base", F.concat(*base))
+    best = patterns(docs, work)
     if best.isEmpty():
+        work.clear()
         return out.withColumn("pii_spans", F.col("pii_base"))
-    out = out.withColumn("_tid", F.xxhash64(text_col))
-    extra = shared.written(discovered(docs.withColumn("_tid", F.xxhash64(text_col)), best, ["_tid"], text_col), "extra")
-    out = out.join(small(extra), "_tid", "left").drop("_tid")
+    tid = F.xxhash64("text")
+    extra = shared.written(discovered(docs.select("text", tid.alias("tid")), best, ["tid"]), "extra")
+    work.clear()
+    out = out.withColumn("tid", tid).join(extra, "tid", "left").drop("tid")
     free = F.filter(F.coalesce("extra", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    number = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).cast("int") - 1
+    number = lambda x: F.array_position(F.array(*map(F.lit, [*KINDS, SECRET])), x["kind"]).cast("int") - 1
     more = F.transform(free, lambda x: F.struct(number(x).alias("number"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     return out.withColumn("pii_spans", F.array_sort(F.concat("pii_base", more))).drop("extra")
 
@@ -209,23 +275,25 @@ def _listed(column: str) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans."""
     found = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_listed("pii_base"), 256).alias("base_sha256"), _listed("pii_spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed("pii_base"), 256).alias("base_sha256"), _listed("pii_spans").alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; columns as before. Null texts stay null."""
-    found = spans(docs, text_col)
+    names = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)}  # free of the working names
+    found = spans(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()]))
     by_place = F.sort_array(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
     def step(s: Column, x: Column) -> Column:
         end = -x["back"]
-        gap = F.substring(text_col, s["at"] + 1, x["start"] - s["at"])
+        gap = F.substring("text", s["at"] + 1, x["start"] - s["at"])
         new = F.struct(end.alias("at"), F.concat(s["out"], F.array(F.concat(gap, F.lit("["), x["kind"], F.lit("]")))).alias("out"))
         return F.when(x["start"] >= s["at"], new).otherwise(F.struct(F.greatest(s["at"], end).alias("at"), s["out"].alias("out")))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.aggregate(by_place, first, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text_col, s["at"] + 1, F.length(text_col))))
-    return found.withColumn(text_col, F.when(F.size("pii_spans") > 0, text).otherwise(F.col(text_col))).select(docs.columns)
+    text = F.aggregate(by_place, first, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring("text", s["at"] + 1, F.length("text"))))
+    done = found.withColumn("text", F.when(F.size("pii_spans") > 0, text).otherwise(F.col("text")))
+    return done.select(*[F.col(x).alias(c) for c, x in names.items()])

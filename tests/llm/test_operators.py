@@ -199,6 +199,32 @@ def test_private_data_by_context_of_long_spans(spark):
     assert found[3] == "phone:11:28" and found[25] == "email:47:69,card:8:27"
 
 
+def test_private_data_induces_further_patterns(spark):
+    """Keys teach ``token =``; what that finds teaches ``pass:``, which finds what no seed has a pattern for."""
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    filler = lambda: sentence(rng, "en", 6)
+    rows = [(i, f'{filler()} token = "{key()}" {filler()}') for i in range(60)]
+    rows += [(70 + i, f'{filler()} token = "x{i}y"### {filler()} pass: x{i}y {filler()}') for i in range(12)]
+    rows += [(90, "a pass: q77 here"), (91, f"the {key()} alone in the text"), (92, "the 12 and the 13")]
+    found = dict(got(pii.report(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "spans"))
+    text = dict(rows)
+    assert all(found[i].split(",")[0] == f"secret:{text[i].index(chr(34)) + 1}:{text[i].rindex(chr(34))}" for i in range(60))
+    assert all(len(found[70 + i].split(",")) == 2 for i in range(12)) and found[90] == "secret:8:11" and found[91] == found[92] == ""
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["pii_flag", "extra", "tid", "_m_email", "c0", "pii_spans", "leak_words", "leak_items", "t", "ids", "lang_pred"]
+    rows = [(1, "mail a@b.cd and 10.0.0.1", "en"), (2, "a b c d e f g h i", "en"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    for out, kept in ((pii.redact(docs), {1, 2, 3}), (leaks.clean(docs, bench), {1, 3}), (jaccard.one_of_each(docs), {1, 2, 3})):
+        assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == kept
+        assert all(r[c] == i for r in out.collect() for i, c in enumerate(names))
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[1] == "mail [email] and [ip]"
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     vectors = rng.standard_normal((300, 24)).astype(np.float32)
