@@ -27,6 +27,8 @@ are used whole; further columns, whatever their names, pass through :func:`redac
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ from . import shared
 from .jaccard import small
 
 LEAST_SEEDS = 5
+#: Up to this many patterns are looked for before words become rows.
+MOST_PATTERNS = 2000
+#: Up to this many first words of accepted patterns are looked for in a text before it is cut into tokens.
+MOST_FIRSTS = 100
 LEAST_SCORE = 0.8
 #: The shapes, in the order of their kinds, as possessive patterns that match the same strings.
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
@@ -111,7 +117,8 @@ def _places(matches: Column, gaps: Column, keep) -> Column:
         first = F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("out"))
         return F.aggregate(F.sequence(r * _RUN, last), first, step, lambda s: s["out"])
 
-    return F.flatten(F.transform(F.slice(starts, 1, F.size(starts) - 1), run))
+    found = F.flatten(F.transform(F.slice(starts, 1, F.size(starts) - 1), run))
+    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPANS))
 
 
 def seeds(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -165,7 +172,7 @@ def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` (marked) with ``left, both, token, start``: a row for each identifier-like token that follows a word."""
     text = F.col(text_col)
     ready = df.select("*", *[F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(i)).alias(c) for i, c in enumerate(("_l", "_w", "_t", "_r"), 1)], F.split(text, _TOKEN, -1).alias("_g"))
-    ready = ready.where(F.size("_l") > 0).withColumn("_p", _places(F.col("_l"), F.col("_g"), lambda m: F.lit(True)))
+    ready = ready.withColumn("_p", _places(F.col("_l"), F.col("_g"), lambda m: F.lit(True)))
     rows = ready.select(*df.columns, F.explode(F.arrays_zip("_l", "_w", "_t", "_r", "_p")).alias("c"))
     raw = F.col("c._t")
     start = F.col("c._p.end") + F.length("c._w") + F.length(raw) - F.length(F.regexp_replace(raw, _LEADING, ""))
@@ -179,9 +186,39 @@ def _patterns_of(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns, F.explode(F.array("left", "both")).alias("pattern")).where("pattern is not null")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _spots(words: Column, last: int) -> Column:
+    """The places 0, 1, ... of an array of which ``last`` more follow."""
+    return F.when(F.size(words) > last, F.sequence(F.lit(0), F.size(words) - 1 - last)).otherwise(F.array().cast("array<int>"))
+
+
 def graph_of(marked: DataFrame) -> DataFrame:
     """``pattern, token, seed, n`` of marked texts."""
-    pairs = _patterns_of(candidates(marked.where(F.col("text").rlike(f"[0-9@{_ANY_MARK}]"))), "token").withColumn("seed", _seed(F.col("token")))
+
+    def instance(words: Column, i: Column) -> Column:
+        left, sign = F.lower(F.get(words, i)), F.get(words, i).rlike(rf"^{_SIGN}$") & (i > 0)
+        right = F.lower(F.get(words, i + 2))
+        return F.struct(
+            F.when(sign, F.concat_ws(" ", F.lower(F.get(words, i - 1)), left)).otherwise(left).alias("left"),
+            F.when(~sign & right.isNotNull(), F.concat_ws(" _ ", left, right)).alias("both"),
+            F.get(words, i + 1).alias("token"),
+        )
+
+    def instances(words: Column) -> Column:
+        here = F.filter(_spots(words, 1), lambda i: F.get(words, i + 1).rlike(f"[0-9@{_ANY_MARK}]"))
+        return F.transform(here, lambda i: instance(words, i))
+
+    rows = marked.select(F.explode(_bound(_words(F.col("text")), instances)).alias("c"))
+    rows = rows.select("c.left", "c.both", _trimmed(F.col("c.token")).alias("token")).where(F.length("token") > 0)
+    pairs = _patterns_of(rows, "token").withColumn("seed", _seed(F.col("token")))
     token = F.when(F.col("seed").isNull(), F.col("token")).otherwise(F.regexp_extract("token", _MARKED, 0))
     seed = F.coalesce("seed", F.when(F.col("token").rlike(KEY), F.lit(SECRET)))
     return pairs.select("pattern", token.alias("token"), seed.alias("seed")).groupBy("pattern", "token", "seed").agg(F.count(F.lit(1)).alias("n"))
@@ -189,13 +226,21 @@ def graph_of(marked: DataFrame) -> DataFrame:
 
 def _occurrences(marked: DataFrame, wanted: DataFrame) -> DataFrame:
     """``pattern, total``: how often each wanted pattern stands anywhere, with any word in its place."""
-    text = F.lower("text")
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    left = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    both = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(0))), lambda x, y: F.concat_ws(" _ ", x, y))
-    signs = F.transform(F.regexp_extract_all(text, F.lit(rf"(?<!\S)(\S++\s++{_SIGN})(?=\s++\S)"), F.lit(1)), lambda w: F.regexp_replace(w, r"\s+", " "))
-    rows = marked.where(F.col("text").isNotNull()).select(F.explode(F.concat(left, both, signs)).alias("pattern"))
-    return rows.join(small(wanted), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    rows = [r[0] for r in wanted.select("pattern").limit(MOST_PATTERNS + 1).collect()]
+    few = len(rows) <= MOST_PATTERNS
+    pairs = [p.split(" _ ") for p in rows if " _ " in p]
+    # Only spares rows that the join below would drop; with many patterns it drops them all.
+    among = lambda word, some: word.isin(sorted(set(some))) if few else F.lit(True)
+
+    def found(words: Column) -> Column:
+        left = F.filter(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: among(w, [p for p in rows if " " not in p]))
+        here = F.filter(_spots(words, 2), lambda i: among(F.get(words, i), [p[0] for p in pairs]) & among(F.get(words, i + 2), [p[1] for p in pairs]))
+        both = F.transform(here, lambda i: F.concat_ws(" _ ", F.get(words, i), F.get(words, i + 2)))
+        signs = F.filter(_spots(words, 2), lambda i: F.get(words, i + 1).rlike(rf"^{_SIGN}$"))
+        return F.concat(left, both, F.transform(signs, lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
+
+    every = marked.select(F.explode(_bound(_words(F.lower("text")), found)).alias("pattern"))
+    return every.join(small(wanted), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
 
 
 def bootstrapped(edges: DataFrame, work: shared.Work) -> DataFrame:
@@ -224,13 +269,19 @@ def bootstrapped(edges: DataFrame, work: shared.Work) -> DataFrame:
 
 def patterns(docs: DataFrame, work: shared.Work, text_col: str = "text") -> DataFrame:
     """``pattern, kind, score``: what stands next to identifiers of a kind, from all documents."""
-    marked = _marked(docs.select(F.col(text_col).alias("text")))
-    graph = work.written(graph_of(marked), "graph")
+    slim = docs.select(F.col(text_col).alias("text"))
+    # Filters stand before the marking: one after it would make Spark mark twice.
+    graph = work.written(graph_of(_marked(slim.where(F.col("text").rlike("[0-9@]")))), "graph")
     plausible = graph.groupBy("pattern").agg(F.count_distinct("token").alias("tokens"), F.sum("n").alias("instances")).where(F.col("tokens") >= LEAST_SEEDS)
     plausible = work.written(plausible.select("pattern", "instances"), "plausible")
-    totals = _occurrences(marked, plausible.select("pattern"))
-    # What cannot reach the score even with all of its instances at confidence 1 is left out of the graph.
-    hopeful = work.written(plausible.join(totals, "pattern").where(F.col("instances") >= LEAST_SCORE * F.col("total")).select("pattern", "total"), "hopeful")
+    # What cannot reach the score even with all of its instances at confidence 1 is left out of the graph. What a part of
+    # the texts shows already to be too frequent need not be counted in the others.
+    can = F.col("instances") >= LEAST_SCORE * F.coalesce("total", F.lit(0))
+    slim = slim.where("text is not null")
+    part = _occurrences(_marked(slim.where(F.pmod(F.xxhash64("text"), F.lit(32)) == 0)), plausible.select("pattern"))
+    plausible = work.written(plausible.join(part, "pattern", "left").where(can).select("pattern", "instances"), "plausible")
+    totals = _occurrences(_marked(slim), plausible.select("pattern"))
+    hopeful = work.written(plausible.join(totals, "pattern").where(can).select("pattern", "total"), "hopeful")
     edges = work.written(graph.join(small(hopeful), "pattern"), "edges")
     return bootstrapped(edges, work)
 
@@ -238,7 +289,11 @@ def patterns(docs: DataFrame, work: shared.Work, text_col: str = "text") -> Data
 def discovered(docs: DataFrame, found: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """``key`` and ``extra``: spans (start, end, kind) of unseen identifiers next to accepted patterns."""
     best = found.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
-    texts = docs.select(*key, F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]")).distinct()
+    texts = docs.select(*key, F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    firsts = [r[0] for r in best.select(F.substring_index("pattern", " ", 1)).distinct().limit(MOST_FIRSTS + 1).collect()]
+    if len(firsts) <= MOST_FIRSTS:  # spares texts that hold no accepted pattern
+        texts = texts.where(reduce(lambda x, y: x | y, [F.lower("text").contains(w) for w in firsts]))
+    texts = texts.distinct()
     rows = candidates(_marked(texts)).drop("text")
     rows = _patterns_of(rows.where(_seed(F.col("token")).isNull()), *key, "token", "start").join(small(best), "pattern")
     rows = rows.groupBy(*key, "token", "start").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
