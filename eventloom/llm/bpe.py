@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from . import pretoken, textblock
 
 #: Words remembered by a worker before it starts afresh; bounds memory, not results.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 PAIR_CACHE = 2_000_000
 
 

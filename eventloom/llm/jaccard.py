@@ -51,7 +51,7 @@ BRIEF_WORDS = 8
 #: Only elements whose hash is below this are counted: those that come first in a set.
 COUNTED = np.uint64(1 << 62)
 #: Elements found this often in a task are reported; those found this often in all count as frequent. Any choice is right.
-LEAST_IN_TASK, LEAST_FREQUENT = 3, 16
+LEAST_IN_TASK, LEAST_FREQUENT = 2, 16
 MAX_FREQUENT = 1_000_000
 #: Elements below this hash are reported whatever their count: the sample that gives the mean length of the lists.
 SAMPLED = np.uint64(1 << 52)
@@ -162,9 +162,9 @@ def _occurrences(k: int):
                     inside[edge[(edge >= 0) & (edge < len(grams))]] = False
                 fresh.append(grams[inside & (grams < COUNTED)])
                 size += len(fresh[-1])
-                if size > 500_000:
+                if size > 250_000:
                     (kept, counts), fresh, size = compact(), [], 0
-                    if len(kept) > 1_500_000:  # bounds the task's memory
+                    if len(kept) > 750_000:  # bounds the task's memory
                         yield rows(LEAST_IN_TASK)
                         kept, counts = kept[:0], counts[:0]
         kept, counts = compact()

@@ -60,6 +60,12 @@ def bound(grams: np.ndarray) -> np.ndarray:
 
 def bundles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first document, unit vectors by document) for bounded runs of texts; zero rows for texts without letters."""
+    for first, some in textblock.parts(texts, 8 << 20):
+        for at, vectors in _bundles(some):
+            yield first + at, vectors
+
+
+def _bundles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     kinds = pretoken.classes()
     data, offsets = textblock.as_bytes(texts)
     for at, to in textblock.slices(offsets, 1 << 19):

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .textblock import Block, as_bytes, slices
+from .textblock import Block, as_bytes, parts, slices
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _classes: np.ndarray | None = None
@@ -54,12 +54,17 @@ def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(texts: pa.Array, limit: int = 1 << 21) -> Iterator[Block]:
     """One :class:`Block` for each bounded slice; its words are pre-tokens and cover every byte."""
+    for first, some in parts(texts, 4 * limit):
+        yield from _blocks(first, some, limit)
+
+
+def _blocks(first_row: int, texts: pa.Array, limit: int) -> Iterator[Block]:
     data, offsets = as_bytes(texts)
     for at, to in slices(offsets, limit):
         part = data[offsets[at] : offsets[to]]
         cuts = offsets[at : to + 1] - offsets[at]
         if not len(part):
-            yield Block(at, part, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(to - at + 1, np.int64))
+            yield Block(first_row + at, part, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(to - at + 1, np.int64))
             continue
         points, where = _points(part)
         kind, n = classes()[points], len(points)
@@ -89,4 +94,4 @@ def blocks(texts: pa.Array, limit: int = 1 << 21) -> Iterator[Block]:
                 begin[where_at + size] = True
         first = np.flatnonzero(begin)
         starts, ends = where[first[:-1]], where[first[1:]]
-        yield Block(at, part, starts, ends, np.searchsorted(starts, cuts))
+        yield Block(first_row + at, part, starts, ends, np.searchsorted(starts, cuts))

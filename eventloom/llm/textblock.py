@@ -10,6 +10,7 @@ the batch; one document is never cut, so the bound is exceeded only by a documen
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -145,6 +146,20 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = min(to, n)
 
 
+def parts(texts: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first value, values) of runs of about ``limit`` bytes, so that only a run is copied at a time."""
+    step = max(1, int(len(texts) * limit / max(1, texts.nbytes)))
+    for at in range(0, len(texts), step):
+        yield at, texts.slice(at, step)
+    _release(0)
+
+
+try:  # what numpy has freed goes back to the system between batches, where the C library can do that
+    _release = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):
+    _release = int
+
+
 def word_table(separators: bytes) -> np.ndarray:
     """A 256-entry table: true where a byte belongs to a word. Bytes of non-ASCII characters always do."""
     table = np.ones(256, bool)
@@ -158,6 +173,11 @@ _LOWER[65:91] += 32
 
 def blocks(texts: pa.Array, table: np.ndarray, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[Block]:
     """Cuts texts into maximal runs of word bytes; ``lower`` folds A-Z only."""
+    for first, some in parts(texts, 8 * limit):
+        yield from _blocks(first, some, table, lower, limit)
+
+
+def _blocks(first: int, texts: pa.Array, table: np.ndarray, lower: bool, limit: int) -> Iterator[Block]:
     data, offsets = as_bytes(texts)
     for at, to in slices(offsets, limit):
         part = data[offsets[at] : offsets[to]]
@@ -172,4 +192,4 @@ def blocks(texts: pa.Array, table: np.ndarray, lower: bool = False, limit: int =
             begin[edge] = inside[edge]
             close[edge - 1] = inside[edge - 1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(close) + 1
-        yield Block(at, part, starts, ends, np.searchsorted(starts, cuts))
+        yield Block(first + at, part, starts, ends, np.searchsorted(starts, cuts))
