@@ -351,8 +351,12 @@ def _across(plan: Plan, nearest: bool):
             x, y = x[ok], y[ok]
             differ = np.bitwise_count(brief[x] ^ brief[y]).sum(1, dtype=np.int64)
             ok = differ * (plan.den + plan.num) <= (n[x] + n[y]) * (plan.den - plan.num)
+            x, y, differ = x[ok], y[ok], differ[ok]
+            if nearest and len(x):  # so that what is kept grows with the sets, not with their pairs
+                kept = np.unique(np.concatenate([_chosen(x, node[y], differ), _chosen(y, node[x], differ)]))
+                x, y, differ = x[kept], y[kept], differ[kept]
             for out, value in zip(found, (x, y, differ), strict=True):
-                out.append(value[ok])
+                out.append(value.astype(np.int32))
         x, y, differ = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in found)
         if nearest and len(x):
             kept = np.unique(np.concatenate([_chosen(x, node[y], differ), _chosen(y, node[x], differ)]))
