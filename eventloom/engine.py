@@ -306,4 +306,6 @@ class Engine:
         """A running query from a source through the routes into the stores."""
         from .streaming.ingest import start
 
-        return start(self.sources.stream(source), self.routes.chain, {n: self.stores.get(n) for n in self.stores.list()}, checkpoint, **trigger)
+        made = self.sources.get(source)
+        idle = {} if made.idle_timeout is None else {"idle_ms": int(made.idle_timeout * 1000)}
+        return start(self.sources.stream(source), self.routes.chain, {n: self.stores.get(n) for n in self.stores.list()}, checkpoint, framed=made.kind == "syslog_tcp", limit=made.max_message_size, **idle, **trigger)

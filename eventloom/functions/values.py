@@ -11,6 +11,15 @@ from ..types import FieldType
 KEY_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
 
 
+#: The years 1 to 9999 in epoch milliseconds; other date-times are null.
+MILLIS = (-62_135_596_800_000, 253_402_300_799_999)
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words between runs of white space; empty for blank texts, null for null."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
@@ -57,7 +66,8 @@ def coerced(kind: FieldType, raw: Column) -> Column:
     if kind is FieldType.FLOAT:
         return raw.try_cast("double")
     if kind is FieldType.DATETIME:
-        return F.timestamp_millis(raw.try_cast("long")).cast("timestamp_ntz")
+        millis = raw.try_cast("long")
+        return F.when(millis.between(*MILLIS), F.timestamp_millis(millis)).cast("timestamp_ntz")
     if kind is FieldType.ADDRESS:
         return F.coalesce(ipv4(raw), F.when(raw.contains(":"), ingested_address(raw)))
     return F.lower(raw) if kind is FieldType.HOSTNAME else raw

@@ -43,15 +43,19 @@ def phrase(words: Column, column: Column, terms: tuple) -> Column:
     if None not in inner:
         return guard & F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(f" {' '.join(inner)} ")
 
-    def at(i: Column) -> Column:
-        checks = [F.get(words, i + k) == t for k, t in enumerate(inner) if t is not None]
-        out = checks[0]
-        for c in checks[1:]:
-            out = out & c
-        return out
-
-    places = F.when(F.size(words) >= len(inner), F.sequence(F.lit(0), F.size(words) - len(inner))).otherwise(F.array().cast("array<int>"))
-    return guard & F.exists(places, at)
+    def somewhere(known_words: Column) -> Column:
+        def at(i: Column) -> Column:
+            checks = [F.get(known_words, i + k) == t for k, t in enumerate(inner) if t is not None]
+            out = checks[0]
+            for c in checks[1:]:
+                out = out & c
+            return out
+
+        last = F.size(known_words) - len(inner)
+        return F.exists(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), at)
+
+    # The words are bound to a variable: inside the test of a place they would be cut out of the text again for each.
+    return guard & F.exists(F.array(words), somewhere)
 
 
 def column(node, field) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import coerced
+from ..functions.values import bound, coerced
 from ..types import FieldType
 
 #: Names of the facilities (0-23) and severities (0-7), ids of the elements that describe events.
@@ -44,17 +44,21 @@ def structured_data(text: Column) -> Column:
     """``map<id, map<name, array<value>>>``; empty for nil."""
     unescaped = lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1")
 
+    def params(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["n"]))
+        of = lambda n: F.transform(F.filter(pairs, lambda p: p["n"] == n), lambda p: p["v"])
+        return F.map_from_arrays(names, F.transform(names, of))
+
     def element(e: Column) -> Column:
         names = F.regexp_extract_all(e, F.lit(_PARAM), F.lit(1))
         values = F.transform(F.regexp_extract_all(e, F.lit(_PARAM), F.lit(2)), unescaped)
         pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
-        distinct = F.array_distinct(names)
-        of = lambda n: F.transform(F.filter(pairs, lambda p: p["n"] == n), lambda p: p["v"])
-        return F.struct(F.regexp_extract(e, r"^\[([^\s\]]++)", 1).alias("id"), F.map_from_arrays(distinct, F.transform(distinct, of)).alias("params"))
+        return F.struct(F.regexp_extract(e, r"^\[([^\s\]]++)", 1).alias("id"), bound(pairs, params).alias("params"))
 
-    elements = F.transform(F.regexp_extract_all(text, F.lit(_ELEMENT), F.lit(0)), element)
-    last = F.filter(elements, lambda x, i: ~F.exists(F.slice(elements, i + 2, F.size(elements)), lambda y: y["id"] == x["id"]))
-    return F.map_from_entries(last)
+    def last(elements: Column) -> Column:
+        return F.map_from_entries(F.filter(elements, lambda x, i: ~F.exists(F.slice(elements, i + 2, F.size(elements)), lambda y: y["id"] == x["id"])))
+
+    return bound(F.transform(F.regexp_extract_all(text, F.lit(_ELEMENT), F.lit(0)), element), last)
 
 
 def parse(frames: DataFrame, column: str = "frame") -> DataFrame:
@@ -104,7 +108,12 @@ def typed_values(sd: Column, schema: Column) -> dict[FieldType, Column]:
     """For each type ``map<name, value>`` of the values whose short names ``schema`` declares."""
     values = F.coalesce(F.element_at(sd, VALUES_ID), F.create_map().cast("map<string,array<string>>"))
     pairs = F.transform(F.map_entries(values), lambda e: F.struct(F.element_at(schema, e["key"]).alias("spec"), F.get(e["value"], F.lit(0)).alias("raw")))
-    return {kind: F.map_from_entries(_of_kind(pairs, kind)) for kind in FieldType}
+    return {kind: bound(_of_kind(pairs, kind), _first_of_names) for kind in FieldType}
+
+
+def _first_of_names(named: Column) -> Column:
+    """A map of (name, value) pairs; of several pairs with one name (two short names may be declared for it) the first."""
+    return F.map_from_entries(F.filter(named, lambda x, i: ~F.exists(F.slice(named, 1, i), lambda y: y["name"] == x["name"])))
 
 
 def _of_kind(pairs: Column, kind: FieldType) -> Column:

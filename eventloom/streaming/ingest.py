@@ -144,10 +144,14 @@ def deliver(batch: DataFrame, chain: RoutingChain, stores: dict[str, Store]) ->
         batch.unpersist()
 
 
-def start(stream: DataFrame, chain: RoutingChain, stores: dict[str, Store], checkpoint: str, **trigger):
-    """A running query that ingests ``stream(conn_id, seq, data)``. Delivery is at least once; ids are stable."""
+def start(stream: DataFrame, chain: RoutingChain, stores: dict[str, Store], checkpoint: str, *, framed: bool = True, limit: int = 1_000_000, idle_ms: int = 600_000, **trigger):
+    """A running query that ingests ``stream(conn_id, seq, data)``. Delivery is at least once; ids are stable.
+
+    ``framed``: octet-counted frames, else each chunk is a datagram; ``limit``: the largest message; ``idle_ms``: how long
+    a silent connection is remembered.
+    """
     ends = bool(trigger.get("availableNow") or trigger.get("once"))
-    ready = events(frames(stream, idle_ms=None) if ends else frames(stream))
+    ready = events(frames(stream, framed, limit, None if ends else idle_ms))
     writer = ready.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: deliver(batch, chain, stores))
     return (writer.trigger(**trigger) if trigger else writer).start()
 

@@ -206,6 +206,24 @@ def test_stream_equals_batch_and_is_delivered(spark, tmp_path):
     assert sorted(by_index) == sorted(search.select(red, "two", []).collect()) and len(by_index) == 2
 
 
+def test_datagrams_and_odd_values(spark, tmp_path):
+    """Datagrams are frames of their own; a name declared twice, and a date-time out of range, stop nothing."""
+    frames = [
+        '<13>1 - h app - - [schema@42785 a="integer:n" b="integer:n" t="datetime:at"][values@42785 a="1" b="2" t="9223372036854775807"] one',
+        "<13>1 - h app - - - two",
+    ]
+    rows = [("p", i, f.encode()) for i, f in enumerate(frames)]
+    spark.createDataFrame(rows, ingest.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = Store(spark, "all", str(tmp_path / "all"))
+    chain = routing.RoutingChain([routing.Route("all", (routing.MatchAll(),), routing.StoreAll())])
+    stream = spark.readStream.schema(ingest.SCHEMA).parquet(str(tmp_path / "in"))
+    query = ingest.start(stream, chain, {"all": store}, str(tmp_path / "check"), framed=False, availableNow=True)
+    assert query.awaitTermination(120)
+    found = store.binding().table.collect()
+    assert sorted(r["text:message"] for r in found) == ["one", "two"]
+    assert [r["integer:n"] for r in found if r["text:message"] == "one"] == [1]
+
+
 def test_statistics(spark):
     terms = spark.createDataFrame([("hello",)] * 3 + [("world",)], "term string")
     assert stats.term_count(terms).first()[0] == 4
