@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from . import shared, textblock
 
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Words are maximal runs of other bytes, after folding A-Z.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 

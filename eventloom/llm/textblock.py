@@ -151,7 +151,8 @@ def parts(texts: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
     step = max(1, int(len(texts) * limit / max(1, texts.nbytes)))
     for at in range(0, len(texts), step):
         yield at, texts.slice(at, step)
-    _release(0)
+        pa.default_memory_pool().release_unused()
+        _release(0)
 
 
 try:  # what numpy has freed goes back to the system between batches, where the C library can do that
