@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,17 +69,33 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Writes beside and renames, so a reader never sees half a file."""
-        where, system = self._path(path)
-        beside, _ = self._path(f"{path}.{time.time_ns()}.new")
-        out = system.create(beside, True)
+    def write(self, path: str, text: str, replace: bool = True) -> bool:
+        """Writes beside and renames, so that a reader sees the old file or the new one. Without ``replace`` a file that
+        exists stays, and the answer is False."""
+        beside = f"{path}.{uuid.uuid4().hex}.new"
+        where, system = self._path(beside)
+        out = system.create(where, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        system.delete(where, False)
-        system.rename(beside, where)
+        target, _ = self._path(path)
+        hadoop = self.jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = getattr(getattr(hadoop, "Options$Rename"), "OVERWRITE" if replace else "NONE")
+        try:
+            hadoop.FileContext.getFileContext(system.getUri(), self.conf).rename(where, target, options)
+        except Py4JJavaError:
+            system.delete(where, False)
+            if replace or not self.exists(path):
+                raise
+            return False
+        return True
+
+    def names(self, path: str) -> list[str]:
+        """The names in a folder; none where there is no folder."""
+        where, system = self._path(path)
+        return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
 
     def delete(self, path: str) -> None:
         where, system = self._path(path)
@@ -110,16 +128,20 @@ class Store:
             self.files.write(self._catalog, json.dumps({"fields": {str(k): v for k, v in self.created.items()}}))
         return new
 
-    def append(self, events: DataFrame, fields: list[FieldId], index: bool = True) -> None:
-        """Writes events (``event_id`` and a column named ``type:name`` for each field), then their postings."""
+    def append(self, events: DataFrame, fields: list[FieldId], index: bool = True, batch: str | None = None) -> None:
+        """Writes events (``event_id`` and a column named ``type:name`` for each field), then their postings.
+
+        Each batch has a folder of its own; a batch that is written again under its name replaces itself.
+        """
         from .operators import postings
 
         self.add_fields(fields)
         columns = {f: F.col(f"`{f}`") for f in fields}
         ready = events.select(F.col("event_id").cast("string").alias("event_id"), *[c.cast(f.type.spark).alias(str(f)) for f, c in columns.items()])
-        ready.write.mode("append").parquet(f"{self.path}/events")
+        folder = f"batch={batch or uuid.uuid4().hex}"
+        ready.write.mode("overwrite").parquet(f"{self.path}/events/{folder}")
         if index and fields:
-            postings.write(postings.build(ready, columns), f"{self.path}/postings")
+            postings.write(postings.build(ready, columns), f"{self.path}/postings/{folder}", mode="overwrite")
 
     def has_events(self) -> bool:
         return self.files.exists(f"{self.path}/events")
@@ -129,20 +151,21 @@ class Store:
         from pyspark.sql import types as T
 
         schema = T.StructType([T.StructField("event_id", T.StringType()), *[T.StructField(str(f), f.type.spark) for f in self.created]])
-        table = self.spark.read.schema(schema).parquet(f"{self.path}/events") if self.has_events() else self.spark.createDataFrame([], schema)
+        table = self.spark.read.schema(schema).parquet(f"{self.path}/events").drop("batch") if self.has_events() else self.spark.createDataFrame([], schema)
         return Binding(table, F.col("event_id"), {f: F.col(f"`{f}`") for f in self.created})
 
     def postings(self) -> DataFrame | None:
         where = f"{self.path}/postings"
-        return self.spark.read.parquet(where) if self.files.exists(where) else None
+        return self.spark.read.parquet(where).drop("batch") if self.files.exists(where) else None
 
     def analyze(self) -> None:
-        """Recomputes the statistics table from the postings."""
+        """Recomputes the statistics table from the postings: terms of every type, in their text form."""
         from .operators import stats
+        from .operators.postings import term_text
 
         rows = self.postings()
         if rows is not None:
-            words = rows.where("term is not null").withColumn("n", F.coalesce(F.size("positions"), F.lit(1)))
+            words = rows.withColumn("term", term_text()).withColumn("n", F.coalesce(F.size("positions"), F.lit(1)))
             words.groupBy("field", "term").agg(F.sum(F.greatest("n", F.lit(1))).alias("frequency")).write.mode("overwrite").parquet(f"{self.path}/frequencies")
             stats.hll(words.select("field", "term"), ["field"]).write.mode("overwrite").parquet(f"{self.path}/sketches")
 

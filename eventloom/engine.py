@@ -22,6 +22,9 @@ from .sources.network import Listener
 from .types import FieldId
 
 
+KEPT_VERSIONS = 16
+
+
 class EngineError(Exception):
     """An operation failed; ``status`` is the HTTP status that stands for it."""
 
@@ -101,7 +104,7 @@ class Result:
 
 @dataclass
 class Catalog:
-    """Named listeners, stores and routes, in one versioned file."""
+    """Named listeners, stores and routes; each version is a file of its own."""
 
     version: int = 0
     sources: dict[str, Listener] = field(default_factory=dict)
@@ -126,6 +129,7 @@ class Sources:
             made = Listener.of(settings)
         except (TypeError, ValueError) as error:
             raise BadRequest(str(error)) from None
+        self.engine.refresh()
         if made.name in self.engine.catalog.sources:
             raise BadRequest(f"source {made.name!r} exists")
         self.engine.catalog.sources[made.name] = made
@@ -165,6 +169,7 @@ class Stores:
     def create(self, name: str, path: str | None = None) -> Store:
         if not name or "/" in name:
             raise BadRequest(f"bad store name {name!r}")
+        self.engine.refresh()
         if name in self.engine.catalog.stores:
             raise BadRequest(f"store {name!r} exists")
         self.engine.catalog.stores[name] = path or f"{self.engine.path}/stores/{name}"
@@ -196,6 +201,7 @@ class Routes:
         return list(self.engine.catalog.routes)
 
     def _edit(self, change, version: int | None) -> None:
+        self.engine.refresh()
         if version is not None and version != self.engine.catalog.version:
             raise RetryLater(f"the routes are at version {self.engine.catalog.version}")
         try:
@@ -228,19 +234,30 @@ class Engine:
         self.sources, self.stores, self.routes = Sources(self), Stores(self), Routes(self)
 
     @property
-    def _file(self) -> str:
-        return f"{self.path}/engine.json"
+    def _folder(self) -> str:
+        return f"{self.path}/catalog"
 
     def _load(self) -> Catalog:
-        if not self.files.exists(self._file):
+        versions = [n for n in self.files.names(self._folder) if n.endswith(".json") and n[:-5].isdigit()]
+        if not versions:
             return Catalog()
-        found = json.loads(self.files.read(self._file))
+        found = json.loads(self.files.read(f"{self._folder}/{max(versions)}"))
         return Catalog(found["version"], {k: Listener.of(v) for k, v in found["sources"].items()}, found["stores"], [from_json(r) for r in found["routes"]])
 
+    def refresh(self) -> None:
+        """Takes up what other engines have saved."""
+        self.catalog = self._load()
+
     def save(self) -> None:
+        """Saves the catalog as the next version, unless another engine was first."""
         c = self.catalog
         c.version += 1
-        self.files.write(self._file, json.dumps({"version": c.version, "sources": {k: asdict(v) for k, v in c.sources.items()}, "stores": c.stores, "routes": [to_json(r) for r in c.routes]}))
+        text = json.dumps({"version": c.version, "sources": {k: asdict(v) for k, v in c.sources.items()}, "stores": c.stores, "routes": [to_json(r) for r in c.routes]})
+        if not self.files.write(f"{self._folder}/{c.version:012d}.json", text, replace=False):
+            self.refresh()
+            raise RetryLater(f"the catalog is at version {self.catalog.version}")
+        if c.version > KEPT_VERSIONS:
+            self.files.delete(f"{self._folder}/{c.version - KEPT_VERSIONS:012d}.json")
 
     def search(self, query: str, store: str, fields: Sequence[str] | None = None, sort_by: Sequence[str] = (), limit: int | None = None, reverse: bool = False, *, index: bool | None = None, top: bool = False, default_field: str = "message") -> Result:
         """Makes a query. ``index``: use the postings (by default: never for attached tables, and for stores only if

@@ -42,6 +42,27 @@ def ipv4(text: Column) -> Column:
     return F.when(fine, F.unhex(F.concat(F.lit("00000000000000000000FFFF"), F.array_join(F.transform(parts, octet), ""))))
 
 
+_GROUPS = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*"
+
+
+def ipv6(text: Column) -> Column:
+    """16 address bytes from IPv6 text, or null. One ``::`` stands for one or more zero groups, the last two groups may be dotted."""
+    dotted = ipv4(F.regexp_extract(text, r":([0-9.]+)$", 1))
+    low = lambda at: F.substring(F.hex(dotted), at, 4)
+    plain = F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), low(25), F.lit(":"), low(29))).otherwise(text)
+
+    def padded(sides: Column) -> Column:
+        groups = lambda i: F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        left, right = groups(0), groups(1)
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        fits = F.when(F.size(sides) == 1, missing == 0).otherwise(missing >= 1)
+        whole = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
+        return F.when(fits, F.unhex(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+
+    fine = F.coalesce(plain.rlike(rf"^(?:{_GROUPS})?(?:::(?:{_GROUPS})?)?$") & plain.contains(":"), F.lit(False))
+    return F.when(fine, bound(F.split(plain, "::"), padded))
+
+
 def ipv4_of_number(n: Column) -> Column:
     """16 address bytes of an IPv4 address given as a number."""
     return F.unhex(F.concat(F.lit("00000000000000000000FFFF"), F.lpad(F.hex(n.cast("long")), 8, "0")))
@@ -59,7 +80,7 @@ def address_text(value: Column) -> Column:
 def coerced(kind: FieldType, raw: Column) -> Column:
     """A typed value from text as it comes from a stream; null where it doesn't parse.
 
-    Date-times are epoch milliseconds, addresses dotted IPv4 text (IPv6 by :func:`ingested_address`).
+    Date-times are epoch milliseconds, addresses dotted IPv4 text or IPv6 text.
     """
     if kind is FieldType.INTEGER:
         return raw.try_cast("long")
@@ -69,29 +90,10 @@ def coerced(kind: FieldType, raw: Column) -> Column:
         millis = raw.try_cast("long")
         return F.when(millis.between(*MILLIS), F.timestamp_millis(millis)).cast("timestamp_ntz")
     if kind is FieldType.ADDRESS:
-        return F.coalesce(ipv4(raw), F.when(raw.contains(":"), ingested_address(raw)))
+        return F.coalesce(ipv4(raw), ipv6(raw))
     return F.lower(raw) if kind is FieldType.HOSTNAME else raw
 
 
-def ingested_address(raw: Column) -> Column:
-    """IPv6 text to bytes, by an Arrow UDF; only rows with a colon reach it, and only at ingest."""
-    import pandas as pd
-
-    from ..types import address_bytes
-
-    def one(text):
-        try:
-            return address_bytes(text)
-        except (ValueError, TypeError):
-            return None
-
-    @F.pandas_udf("binary")
-    def convert(values: pd.Series) -> pd.Series:
-        return values.map(one)
-
-    return convert(raw)
-
-
 def short_key(index: int) -> str:
     """Compact name of the ``index``-th field: base 64 in KEY_ALPHABET, without leading zeros."""
     out = KEY_ALPHABET[index & 63]

@@ -6,6 +6,7 @@ physical type. Text has a term for each word, hostnames for each label, both wit
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,5 +52,18 @@ def write(postings: DataFrame, path: str, partitions: int | None = None, mode: s
 
 def forward(postings: DataFrame) -> DataFrame:
     """The index by event: event_id, field and its terms."""
-    shown = F.coalesce("term", F.col("term_long").cast("string"), F.col("term_double").cast("string"), F.col("term_time").cast("string"), F.hex("term_bytes"))
-    return postings.groupBy("event_id", "field").agg(F.sort_array(F.collect_set(shown)).alias("terms"))
+    return postings.groupBy("event_id", "field").agg(F.sort_array(F.collect_set(term_text())).alias("terms"))
+
+
+def term_text() -> Column:
+    """The term of a posting as text, whatever its type."""
+    return F.coalesce("term", F.col("term_long").cast("string"), F.col("term_double").cast("string"), F.col("term_time").cast("string"), F.hex("term_bytes"))
+
+
+def text_of(term) -> str:
+    """The same of a term in a query."""
+    if isinstance(term, bytes):
+        return term.hex().upper()
+    if isinstance(term, datetime):
+        return term.isoformat(" ").rstrip("0").rstrip(".") if term.microsecond else term.isoformat(" ")
+    return str(term)

@@ -15,6 +15,7 @@ from ..plans.ast import All, AnyOf, Between, Phrase, Term, Without
 from ..plans.language import parse_query
 from ..plans.matchers import explain, order, plan, prune
 from ..types import FieldId, FieldType
+from .postings import text_of
 
 
 def matcher(query: str, binding: Binding, default_field: str = "message", clock: Clock = system_clock):
@@ -41,7 +42,7 @@ def needed(node) -> list[tuple[str, str | None]]:
             out.append((str(leaf.field), None))
         else:
             terms = [leaf.term] if isinstance(leaf, Term) else [t for t in leaf.terms if t is not None]
-            out += [(str(leaf.field), str(t)) for t in terms] or [(str(leaf.field), None)]
+            out += [(str(leaf.field), text_of(t)) for t in terms] or [(str(leaf.field), None)]
     return out
 
 

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .postings import text_of
+
 #: Parameters and seeds of the sketches.
 CMS_EPS, CMS_CONFIDENCE, CMS_SEED = 0.001, 0.99, 123456789
 HLL_BITS = 16
@@ -130,4 +132,4 @@ class Frequencies:
             self.known |= {(r["field"], None): r["n"] for r in self.table.where(F.col("field").isin(fields)).groupBy("field").agg(F.sum("frequency").alias("n")).collect()}
 
     def __call__(self, field, term) -> int:
-        return self.events if field is None else int(self.known.get((str(field), None if term is None else str(term)), 0))
+        return self.events if field is None else int(self.known.get((str(field), None if term is None else text_of(term)), 0))

@@ -3,7 +3,9 @@
 ``spark.dataSource.register(SyslogUdp)`` and then ``spark.readStream.format("syslog_udp").option("host", ...)``: rows
 ``(conn_id, seq, data)``, one for each datagram, or for each chunk read from a TCP connection. The driver's reader
 listens and hands the chunks out in micro-batches; framing and parsing run on the executors. What arrived is kept until
-the batch that holds it is committed, so a failed batch is read again.
+the batch that holds it is committed, so a failed batch is read again. At most ``max_pending`` bytes wait: then TCP
+senders are held back, and datagrams are dropped. After a restart numbering goes on from the query's checkpoint; what the
+stopped driver held and had not committed is lost, as the senders of this protocol do not repeat it.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 CHUNK = 65_536
+PENDING = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -57,24 +60,33 @@ class Listener:
 
 
 class _Inbox:
-    """Chunks that arrived, numbered from 0."""
-
-    def __init__(self):
-        self.lock, self.first, self.rows = threading.Lock(), 0, []
-
-    def add(self, conn: str, seq: int, data: bytes) -> None:
-        with self.lock:
+    """Chunks that arrived, numbered from ``first``; at most about ``most`` bytes wait at a time."""
+
+    def __init__(self, first: int = 0, most: int = PENDING):
+        self.room, self.first, self.rows, self.most, self.size, self.dropped = threading.Condition(), first, [], most, 0, 0
+
+    def add(self, conn: str, seq: int, data: bytes, wait: bool) -> None:
+        """Takes a chunk in. Where there is no room, it waits (the sender is held back), or drops and counts the chunk."""
+        with self.room:
+            while self.size >= self.most:
+                if not wait:
+                    self.dropped += 1
+                    return
+                self.room.wait()
             self.rows.append((conn, seq, data))
+            self.size += len(data)
 
     def between(self, start: int, end: int | None = None) -> tuple[list, int]:
-        with self.lock:
+        with self.room:
             stop = self.first + len(self.rows) if end is None else end
-            return self.rows[max(0, start - self.first) : stop - self.first], stop
+            return self.rows[max(0, start - self.first) : max(0, stop - self.first)], stop
 
     def forget(self, end: int) -> None:
-        with self.lock:
-            done = max(0, end - self.first)
+        with self.room:
+            done = min(len(self.rows), max(0, end - self.first))
+            self.size -= sum(len(data) for _, _, data in self.rows[:done])
             self.rows, self.first = self.rows[done:], self.first + done
+            self.room.notify_all()
 
 
 class _Reader(SimpleDataSourceStreamReader):
@@ -82,11 +94,13 @@ class _Reader(SimpleDataSourceStreamReader):
         self.host, self.port = options.get("host", "127.0.0.1"), int(options.get("port", 0))
         self.idle = float(options["idle_timeout"]) if "idle_timeout" in options else None
         self.most = int(options.get("max_connections", 1000))
-        self.inbox, self.started = None, False
+        self.pending = int(options.get("max_pending", PENDING))
+        self.inbox = None
 
-    def _start(self) -> None:
-        if not self.started:
-            self.started, self.inbox = True, _Inbox()
+    def _start(self, first: int) -> None:
+        """Listens; what arrives is numbered on from ``first``, where an earlier run of the query stopped."""
+        if self.inbox is None:
+            self.inbox = _Inbox(first, self.pending)
             self.socket = self.listen()
             threading.Thread(target=self.serve, daemon=True).start()
 
@@ -94,12 +108,12 @@ class _Reader(SimpleDataSourceStreamReader):
         return {"at": 0}
 
     def read(self, start: dict):
-        self._start()
+        self._start(start["at"])
         rows, end = self.inbox.between(start["at"])
         return iter(rows), {"at": end}
 
     def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
-        self._start()
+        self._start(end["at"])
         return iter(self.inbox.between(start["at"], end["at"])[0])
 
     def commit(self, end: dict) -> None:
@@ -117,7 +131,7 @@ class _UdpReader(_Reader):
         seq = 0
         while True:
             data, peer = self.socket.recvfrom(CHUNK)
-            self.inbox.add(f"{peer[0]}:{peer[1]}", seq, data)
+            self.inbox.add(f"{peer[0]}:{peer[1]}", seq, data, wait=False)
             seq += 1
 
 
@@ -140,7 +154,7 @@ class _TcpReader(_Reader):
         conn.settimeout(self.idle)
         with contextlib.suppress(OSError), conn:
             while data := conn.recv(CHUNK):
-                self.inbox.add(name, seq, data)
+                self.inbox.add(name, seq, data, wait=True)
                 seq += 1
         self.open.release()
 

@@ -118,13 +118,5 @@ def _first_of_names(named: Column) -> Column:
 
 def _of_kind(pairs: Column, kind: FieldType) -> Column:
     own = F.filter(pairs, lambda p: F.lower(F.substring_index(p["spec"], ":", 1)) == kind.value)
-    named = F.transform(own, lambda p: F.struct(F.regexp_replace(p["spec"], "^[^:]*:", "").alias("name"), _value(kind, p["raw"]).alias("value")))
+    named = F.transform(own, lambda p: F.struct(F.regexp_replace(p["spec"], "^[^:]*:", "").alias("name"), coerced(kind, p["raw"]).alias("value")))
     return F.filter(named, lambda p: p["value"].isNotNull())
-
-
-def _value(kind: FieldType, raw: Column) -> Column:
-    if kind is FieldType.ADDRESS:  # inside lambdas only native expressions run
-        from ..functions.values import ipv4
-
-        return ipv4(raw)
-    return coerced(kind, raw)

@@ -6,6 +6,7 @@ without data for ``idle`` is forgotten. The same functions run over a static tab
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -102,7 +103,8 @@ def events(framed: DataFrame) -> DataFrame:
     Messages that don't parse are dropped. The id derives from the place in the stream, so a retried batch makes the
     same events.
     """
-    parsed = syslog.parse(framed).where("valid")
+    seen = syslog.parse(framed).observe("ingest", F.count(F.lit(1)).alias("frames"), F.count_if(~F.col("valid")).alias("unparsable"))
+    parsed = seen.where("valid")
     declared = F.coalesce("schema", F.create_map().cast("map<string,string>"))
     typed = [c.alias(f"{k.value}_values") for k, c in syslog.typed_values(F.col("sd"), declared).items()]
     ident = F.sha2(F.concat_ws("/", "conn_id", "seq", "n", "frame"), 256).substr(1, 32)
@@ -129,30 +131,33 @@ def widened(batch: DataFrame) -> tuple[DataFrame, list[FieldId]]:
     return batch.select("event_id", "tags", *columns), fields
 
 
-def deliver(batch: DataFrame, chain: RoutingChain, stores: dict[str, Store]) -> None:
-    """Routes a batch of events and appends them to their stores, growing the catalogs."""
+def deliver(batch: DataFrame, chain: RoutingChain, stores: dict[str, Store], name: str | None = None) -> None:
+    """Routes a batch of events and appends them to their stores, growing the catalogs. A batch that is delivered again
+    under its name replaces what it wrote."""
     batch = batch.persist()
     try:
         wide, fields = widened(batch)
         routed = wide.withColumn("__to", chain.targets(F.col("tags"), list(stores))).persist()
-        for name, store in stores.items():
-            own = routed.where(F.array_contains("__to", name))
+        for target, store in stores.items():
+            own = routed.where(F.array_contains("__to", target))
             if not own.isEmpty():
-                store.append(own.drop("__to", "tags"), fields)
+                store.append(own.drop("__to", "tags"), fields, batch=name)
         routed.unpersist()
     finally:
         batch.unpersist()
 
 
 def start(stream: DataFrame, chain: RoutingChain, stores: dict[str, Store], checkpoint: str, *, framed: bool = True, limit: int = 1_000_000, idle_ms: int = 600_000, **trigger):
-    """A running query that ingests ``stream(conn_id, seq, data)``. Delivery is at least once; ids are stable.
+    """A running query that ingests ``stream(conn_id, seq, data)``. A batch that is retried replaces itself in the stores,
+    so each event is there once. The query's progress holds the metrics ``ingest``: frames, unparsable ones.
 
     ``framed``: octet-counted frames, else each chunk is a datagram; ``limit``: the largest message; ``idle_ms``: how long
     a silent connection is remembered.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     ends = bool(trigger.get("availableNow") or trigger.get("once"))
     ready = events(frames(stream, framed, limit, None if ends else idle_ms))
-    writer = ready.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: deliver(batch, chain, stores))
+    writer = ready.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: deliver(batch, chain, stores, f"q{run}-{n}"))
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
