@@ -161,6 +161,21 @@ except (OSError, AttributeError):
     _release = int
 
 
+def frugal() -> None:
+    """Lets what this worker frees go back to the system at once: large buffers, Arrow's too, are mapped one by one.
+
+    For workers that later run other stages beside a full heap; it costs some time in the kernel.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(_MMAP_THRESHOLD, 1 << 18)
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (OSError, AttributeError):
+        return
+
+
+_MMAP_THRESHOLD = -3  # fixed value: the option's number in the C library
+
+
 def word_table(separators: bytes) -> np.ndarray:
     """A 256-entry table: true where a byte belongs to a word. Bytes of non-ASCII characters always do."""
     table = np.ones(256, bool)
