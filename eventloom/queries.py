@@ -128,6 +128,14 @@ on_documents("term_text", "?message = that", "list_contains(w, 'that')", index=T
 on_documents("term_default_field", "With", "list_contains(w, 'with')")
 on_documents("term_text_punctuation", '"the," OR "and."', "list_contains(w, 'the,') OR list_contains(w, 'and.')")
 
+# Functions
+
+on_documents("func_text", "?message = text(of the)", "text LIKE '%' AND len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0")
+on_events("func_float", "?value >= float( 100.5 )", "value >= 100.5")
+on_events("func_datetime", "?ts < datetime(2024-01-02T00:00:00.000Z)", "ts < TIMESTAMP '2024-01-02'")
+on_events("func_address", "?ip = address(10.0.0.42)", "user_id = 42")
+on_events("func_now", "?ts <= now() AND ?user_id < 5", "ts IS NOT NULL AND user_id < 5")
+
 # Comparisons
 
 _COMPARED = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
@@ -197,7 +205,7 @@ def on_hosts(name: str, query: str, where: str) -> None:
     searched(name, pages, query, "page_id", f"SELECT page_id, host FROM (SELECT page_id, {_HOST} AS host FROM pages) WHERE {where}")
 
 
-on_hosts("hostname_exact", "?host = @site1.example.com", "regexp_matches('.' || lower(host) || '.', '[.]site1[.]example[.]com[.]')")
+on_hosts("hostname_exact", "?host = @tionsh.example.net", "regexp_matches('.' || lower(host) || '.', '[.]tionsh[.]example[.]net[.]')")
 on_hosts("hostname_suffix", "?host = @Example.com", "regexp_matches('.' || lower(host) || '.', '[.]example[.]com[.]')")
 on_hosts("hostname_label", "?host = hostname(org)", "list_contains(string_split(lower(host), '.'), 'org')")
 
@@ -261,6 +269,12 @@ def unsorted_limit(spark, sf_dir):
     return _shown(search.select(events(spark, sf_dir), "?event_type = :error", ["datetime:ts"], limit=25, arrival=[F.col("ts")]), "event_id")
 
 
+@registered("unsorted_reverse", "SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC NULLS LAST, event_id DESC) AS n FROM (SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts NULLS FIRST, event_id LIMIT 25)")
+def unsorted_reverse(spark, sf_dir):
+    found = search.select(events(spark, sf_dir), "?event_type = :error", ["datetime:ts"], limit=25, reverse=True, arrival=[F.col("ts")])
+    return _numbered(_shown(found, "event_id"), [F.desc_nulls_last("ts"), F.desc_nulls_last("event_id")])
+
+
 @registered("page_offset_limit", "SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts NULLS FIRST, event_id LIMIT 30 OFFSET 60")
 def page_offset_limit(spark, sf_dir):
     return _shown(search.select(events(spark, sf_dir), "?event_type = :click", ["datetime:ts"], ["datetime:ts"]).offset(60).limit(30), "event_id")
@@ -412,6 +426,29 @@ def syslog_typed_values(spark, sf_dir):
     return syslog.parse(_frames(spark, sf_dir)).select("seq", F.element_at(by["integer"], "user_id").alias("user_id"), F.element_at(by["float"], "value").alias("value"), F.element_at(by["literal"], "kind").alias("kind"), F.size(by["literal"]).alias("literals"))
 
 
+@registered("syslog_ipv6_value", "SELECT event_id AS seq, '20010DB8000000000000' || printf('%04X', user_id % 65536) || '0000' || printf('%04X', event_id % 65536) AS peer, '00000000000000000000FFFF0A0000' || printf('%02X', user_id % 256) AS old FROM events WHERE user_id IS NOT NULL")
+def syslog_ipv6_value(spark, sf_dir):
+    user, ident = F.col("user_id"), F.col("event_id")
+    group = lambda c: F.lower(F.hex(F.pmod(c, F.lit(65536))))
+    peer = F.concat(F.lit("2001:DB8::"), group(user), F.lit(":0:"), group(ident))
+    old = F.concat(F.lit("::ffff:10.0.0."), F.pmod(user, F.lit(256)).cast("string"))
+    frame = F.concat(F.lit('<13>1 - h app - - [schema@42785 p="address:peer" o="address:old"][values@42785 p="'), peer, F.lit('" o="'), old, F.lit('"] m'))
+    rows = read(spark, sf_dir, "events").where("user_id is not null").select(ident.alias("seq"), frame.alias("frame"))
+    parsed = syslog.parse(rows)
+    typed = syslog.typed_values(F.col("sd"), syslog.declared(F.col("sd")))
+    own = next(c for k, c in typed.items() if k.value == "address")
+    return parsed.select("seq", F.hex(F.element_at(own, "peer")).alias("peer"), F.hex(F.element_at(own, "old")).alias("old"))
+
+
+@registered("udp_frames", f"SELECT event_id AS seq, 0::BIGINT AS n, event_type AS msgid, user_id {_SENT}")
+def udp_frames(spark, sf_dir):
+    """Each datagram is one frame."""
+    chunks = _frames(spark, sf_dir).select("conn_id", "seq", F.col("frame").cast("binary").alias("data"))
+    found = syslog.parse(ingest.frames(chunks, framed=False)).where("valid")
+    typed = {k.value: c for k, c in syslog.typed_values(F.col("sd"), F.col("schema")).items()}
+    return found.select("seq", "n", "msgid", F.element_at(typed["integer"], "user_id").alias("user_id"))
+
+
 @registered("sticky_tags", f"SELECT event_id AS seq, coalesce(last_value(CASE WHEN event_id % 5 = 0 THEN event_type || ',all' END IGNORE NULLS) OVER (PARTITION BY user_id % 10 ORDER BY event_id ROWS UNBOUNDED PRECEDING), '') AS tags {_SENT}")
 def sticky_tags(spark, sf_dir):
     return ingest.sticky_tags(syslog.parse(_frames(spark, sf_dir))).select("seq", F.array_join("tags", ",").alias("tags"))

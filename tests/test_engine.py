@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from eventloom.catalog import Binding, Store
 from eventloom.engine import BadRequest, Engine, NotFound, RetryLater
+from eventloom.functions import values
 from eventloom.operators import postings, routing, search, stats
+from eventloom.plans import matchers
 from eventloom.sources import syslog
 from eventloom.sources.framing import FramingError, decode_frames, encode_frame
-from eventloom.sources.network import Listener
+from eventloom.sources.network import Listener, _Inbox
 from eventloom.streaming import ingest
 from eventloom.types import FieldId, address_bytes
 
@@ -224,6 +226,71 @@ def test_datagrams_and_odd_values(spark, tmp_path):
     assert [r["integer:n"] for r in found if r["text:message"] == "one"] == [1]
 
 
+def test_retried_batches_and_metrics(spark, tmp_path):
+    """A batch that is delivered twice is there once; the query's progress counts frames."""
+    spark.createDataFrame([("p", i, f.encode()) for i, f in enumerate(FRAMES)], ingest.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = Store(spark, "all", str(tmp_path / "all"))
+    chain = routing.RoutingChain([routing.Route("all", (routing.MatchAll(),), routing.StoreAll())])
+    stream = spark.readStream.schema(ingest.SCHEMA).parquet(str(tmp_path / "in"))
+    query = ingest.start(stream, chain, {"all": store}, str(tmp_path / "check"), framed=False, availableNow=True)
+    assert query.awaitTermination(120)
+    counted = [p["observedMetrics"]["ingest"] for p in query.recentProgress if p["numInputRows"]]
+    assert [(m["frames"], m["unparsable"]) for m in counted] == [(4, 1)]
+    batch = ingest.events(ingest.frames(spark.read.schema(ingest.SCHEMA).parquet(str(tmp_path / "in")), framed=False))
+    for _ in range(2):
+        ingest.deliver(batch, chain, {"all": store}, "again")
+    assert store.binding().table.count() == 6 and store.postings().where("term = 'two'").count() == 2
+
+
+def test_catalog_versions(spark, tmp_path):
+    """Of two engines that save the same version one is told to retry, and then sees the other's edit."""
+    one, two = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    one.stores.create("a")
+    two.catalog.version = 0
+    with pytest.raises(RetryLater):
+        two.save()
+    assert two.stores.list() == ["a"] and two.catalog.version == 1
+    two.stores.create("b")
+    one.refresh()
+    assert one.stores.list() == ["a", "b"]
+
+
+def test_costs_of_typed_terms(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), 1, 0.5 * i, datetime(2020, 1, 1, 0, 0, 0, 500000)) for i in range(20)], "event_id string, `integer:n` long, `float:x` double, `datetime:t` timestamp_ntz")
+    store = Store(spark, "s", str(tmp_path))
+    store.append(rows, [FieldId.of(f) for f in ("integer:n", "float:x", "datetime:t")])
+    store.analyze()
+    found = store.frequencies()
+    for query, cost in (("?n = 1", 20), ("?n = 2", 0), ("?x = 2.5", 1), ("?t = 2020-01-01T00:00:00.500Z", 20), ("?n > 0", 20)):
+        node = search.matcher(query, store.binding())
+        found.load(search.needed(node))
+        assert matchers.cost(node, found) == cost
+
+
+def test_ipv6(spark):
+    texts = ["::1", "::", "1::", "2001:db8::FFFF:1", "1:2:3:4:5:6:7:8", "::ffff:10.0.0.1", "1:2::3:4.5.6.7", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", ":1:2", "1::2::3", "12345::", "g::", "1:2", "::1.2.3", "1:2:3:4:5:6:7:8:9", "", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", values.ipv6(F.col("t")).alias("v")).collect()
+    for r in found:
+        try:
+            expected = address_bytes(r.t) if r.t and ":" in r.t else None
+        except ValueError:
+            expected = None
+        assert (None if r.v is None else bytes(r.v)) == expected, r.t
+
+
+def test_inbox():
+    """Numbers go on from the checkpoint's offset; without room datagrams are dropped and counted."""
+    inbox = _Inbox(100, 10)
+    for i in range(3):
+        inbox.add("c", i, b"12345", wait=False)
+    assert inbox.between(100) == ([("c", 0, b"12345"), ("c", 1, b"12345")], 102) and inbox.dropped == 1
+    inbox.forget(101)
+    inbox.add("c", 3, b"12345", wait=True)
+    assert inbox.between(101) == ([("c", 1, b"12345"), ("c", 3, b"12345")], 103)
+    inbox.forget(500)
+    assert inbox.between(103) == ([], 103)
+
+
 def test_statistics(spark):
     terms = spark.createDataFrame([("hello",)] * 3 + [("world",)], "term string")
     assert stats.term_count(terms).first()[0] == 4
