@@ -27,9 +27,11 @@ from pyspark.sql import types as T
 
 from . import pretoken, textblock
 
-#: Words remembered by a worker before it starts afresh; bounds memory, not results.
-CACHE_WORDS = 500_000
-PAIR_CACHE = 2_000_000
+#: Words remembered by a worker before it starts afresh, and their bytes; bounds memory, not results.
+CACHE_WORDS, CACHE_BYTES = 500_000, 1 << 24
+PAIR_CACHE = 1 << 18
+#: Bytes of text that :func:`encode` cuts at a time; some fifty times as much is held meanwhile.
+ENCODE_BYTES = 1 << 18
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -165,7 +167,7 @@ class PrefixTable:
 class Codebook:
     """The distinct words that a worker has encoded: their ids, and the ids in decimal, end to end in flat arrays.
 
-    It starts afresh beyond CACHE_WORDS words, which bounds its memory and changes no result.
+    It starts afresh beyond CACHE_WORDS words or CACHE_BYTES of them, which bounds its memory and changes no result.
     """
 
     def __init__(self, encode, with_decimals: bool):
@@ -174,6 +176,7 @@ class Codebook:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.n_bytes = 0
         self.ids, self.decimals = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.id_bounds, self.decimal_bounds = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
@@ -182,10 +185,12 @@ class Codebook:
         keys = words.to_pylist()
         known = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(known < 0)
-        if len(self.number) + len(missing) > CACHE_WORDS:
+        fresh = sum(len(keys[i]) for i in missing.tolist())
+        if len(missing) and (len(self.number) + len(missing) > CACHE_WORDS or self.n_bytes + fresh > CACHE_BYTES):
             self.clear()
-            missing = np.arange(len(keys))
+            missing, fresh = np.arange(len(keys)), sum(map(len, keys))
         if len(missing):
+            self.n_bytes += fresh
             known[missing] = np.arange(len(self.number), len(self.number) + len(missing))
             self.number.update(zip([keys[i] for i in missing.tolist()], known[missing].tolist(), strict=True))
             found = self.encode(words.take(pa.array(missing)))
@@ -214,16 +219,14 @@ class Codebook:
         return data, ends[block.bounds]
 
 
-_coders: dict[bytes, tuple[PrefixCoder, Codebook]] = {}
+def coder_of(raw: bytes, with_decimals: bool = True) -> tuple[PrefixCoder, Codebook]:
+    """The coder of a rank file and the words it has encoded, kept by the worker until it runs another operator."""
 
-
-def coder_of(raw: bytes) -> tuple[PrefixCoder, Codebook]:
-    """The coder of a rank file and the words it has encoded, kept for the worker's life."""
-    key = hashlib.sha256(raw).digest()
-    if key not in _coders:
+    def made():
         coder = PrefixCoder(load_ranks(raw))
-        _coders[key] = coder, Codebook(lambda words: [coder.encode(w) for w in words.to_pylist()], True)
-    return _coders[key]
+        return coder, Codebook(lambda words: [coder.encode(w) for w in words.to_pylist()], with_decimals)
+
+    return textblock.kept(("bpe", hashlib.sha256(raw).digest(), with_decimals), made)
 
 
 def _sha256s(data: np.ndarray, bounds: np.ndarray, skip: int) -> list[str]:
@@ -252,21 +255,24 @@ def _share(df: DataFrame, vocabulary: str):
         return f.read()
 
 
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with an ``array<int>`` of token ids (never null). No shuffle; streams batches."""
-    raw = _share(df, vocabulary)
-    keep = [c for c in df.columns if c != ids_col]
-
-    def run(batches):
-        _, book = coder_of(raw)
+def _encoded(raw: bytes, keep: list[str], text_col: str, ids_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textblock.frugal()
+        _, book = coder_of(raw, False)
         for batch in batches:
-            for block in pretoken.blocks(batch.column(text_col)):
+            for block in pretoken.blocks(batch.column(text_col), ENCODE_BYTES):
                 ids, bounds = book.id_rows(book.of(block), block)
                 arrays = [batch.column(c).slice(block.first, block.n_docs) for c in keep]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], names=[*keep, ids_col])
 
+    return run
+
+
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``df`` with an ``array<int>`` of token ids (never null). No shuffle; streams batches."""
+    keep = [c for c in df.columns if c != ids_col]
     source = df.select(list(dict.fromkeys([*keep, text_col])))
-    return source.mapInArrow(run, T.StructType([*df.select(keep).schema, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return source.mapInArrow(_encoded(_share(df, vocabulary), keep, text_col, ids_col), T.StructType([*df.select(keep).schema, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -140,6 +140,7 @@ def _occurrences(k: int):
     """Counts of elements in a task: those found often, and all of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textblock.forget()
         textblock.frugal()
         kept, counts, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
@@ -188,6 +189,7 @@ def counted(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
 
 def _signatures(k: int, plan: Plan, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textblock.forget()
         textblock.frugal()
         seen, common = set(), frequent.value
         for batch in batches:
@@ -228,6 +230,7 @@ def _parity(u: np.ndarray) -> np.ndarray:
 
 def _sketched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textblock.forget()
         textblock.frugal()
         for batch in batches:
             for block in _blocks_of(batch.column("text")):
@@ -266,6 +269,7 @@ def _check(k: int, num: int, den: int):
     """Keeps the pairs that link, by their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textblock.forget()
         textblock.frugal()
         for batch in batches:
             sizes = np.asarray(batch.column("la")).astype(np.int64) + np.asarray(batch.column("lb"))
@@ -333,6 +337,7 @@ def _across(plan: Plan, nearest: bool):
     """Candidate pairs across the components of lists, by sizes, places in the lists and sketches."""
 
     def run(table: pa.Table) -> pa.Table:
+        textblock.forget()
         textblock.frugal()
         key, low, high, own, node, n, place, component = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("key", "low", "high", "own", "node", "n", "place", "component"))
         brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint64).reshape(-1, BRIEF_WORDS)

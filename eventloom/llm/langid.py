@@ -94,6 +94,7 @@ def _bundles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 def _sums(text_col: str, lang_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textblock.forget()
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(lang_col).to_pylist()
@@ -134,6 +135,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     source = df.select(list(dict.fromkeys([*keep, text_col])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textblock.forget()
         for batch in batches:
             for first, vectors in bundles(batch.column(text_col)):
                 part, some = batch.slice(first, len(vectors)), vectors.any(1)

@@ -209,6 +209,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[int]:
 
 def _scan(windows, text: str, carried: list[str], merge: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textblock.forget()
         textblock.frugal()
         index: Windows = windows.value
         for batch in batches:

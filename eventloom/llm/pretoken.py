@@ -34,7 +34,7 @@ def classes() -> np.ndarray:
         import regex
 
         out = np.zeros(0x110000, np.uint8)
-        every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+        every = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")]).tobytes().decode("utf-32-le")
         for code, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
             for m in regex.finditer(pattern, every):
                 shift = [0x800 if i >= 0xD800 else 0 for i in (m.start(), m.end() - 1)]
