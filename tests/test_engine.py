@@ -173,6 +173,34 @@ def test_syslog(spark):
     assert [r.valid for r in bad] == [False, False, True, False, False] and bad[2].timestamp is None
 
 
+def test_syslog_is_cut_as_the_pattern_matched(spark):
+    """Line ends, byte order marks, blanks and brackets at the borders of the parts."""
+    frames = ["<13>- host\n", "<13>- host text\n", "<13>1 - h a p m -\n", "<13>1 - h a p m - \ufeffx y\n", "\ufeff<13>1 - h a p m [a]\r\n", "<13>1 - h a p m [a] ", "<13>1 - h a p\t m - x", "<13>1 - h  p m - x", "<13>1 - h a p m [a] [b] x"]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(frames)], "i int, frame string")
+    found = [(r.valid, r.version, r.origin, r.message) for r in syslog.parse(rows).orderBy("i").collect()]
+    assert found[:6] == [(True, 0, "host", None), (True, 0, "host", "text\n"), (True, 1, "h", None), (True, 1, "h", "x y\n"), (True, 1, "h", None), (True, 1, "h", None)]
+    assert found[6:8] == [(False, None, None, None)] * 2 and found[8] == (True, 1, "h", "[b] x")
+
+
+def test_structured_data_with_and_without_python(spark):
+    texts = ["-", "", None, "[a]", '[a k="1" k="2" j=""]', '[a k="x\\]\\"\\\\y\\z"][b][a j="2"]', '[a [x="v"]', '[a  k="v"  ]', '[a k="l\\\nm\nn"]', '[a\u00a0b \u00e9\u00a0="\u2028\\\u2028"]', '[a k="' + "x" * 40_000 + '"]']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select("t", syslog.structured_data(F.col("t")).alias("one"), syslog._native(F.col("t")).alias("two"), F.expr("length(t) > 32768").alias("long")).collect()
+    assert [r.one for r in found] == [r.two or {} for r in found]
+    assert found[5].one == {"a": {"j": ["2"]}, "b": {}} and found[8].one == {"a": {"k": ["l\\\nm\nn"]}} and found[4].one == {"a": {"k": ["1", "2"], "j": [""]}}
+
+
+def test_each_message_meets_the_patterns_once(spark):
+    """A filter on valid messages does not match again, structured data is parsed once, an address meets few patterns."""
+    from eventloom import queries
+
+    text = {n: queries.QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for n in ("syslog_version_0", "syslog_sd", "syslog_typed_values", "syslog_ipv6_value")}
+    for name in text:
+        assert text[name].count("(?s)^<(0|") == 2, name
+    assert all(text[n].count("ArrowEvalPython") == 1 for n in text if n != "syslog_version_0")
+    assert text["syslog_ipv6_value"].count("[1-9]?[0-9])") <= 6
+
+
 FRAMES = [
     '<13>1 2020-01-01T00:00:00Z h1 app - - [source@42785 tag="red"][schema@42785 u="integer:user" w="address:peer"] one',
     '<13>1 2020-01-01T00:00:01Z h1 app - - [values@42785 u="42" w="10.0.0.9" z="lost"] two',
@@ -307,6 +335,30 @@ def test_advance_survives_bad_frames():
     assert [r[2] for r in found] == ["hello"] and sticky["broken"] and leftover == b""
 
 
+def test_batch_frames_hold_a_part_of_a_connection():
+    """Frames come out before their connection's chunks are all read; state goes on across batches, and ends with its connection."""
+    import pyarrow as pa
+
+    read = []
+
+    def batches():
+        for i in range(40):
+            read.append(i)
+            tag = '[source@42785 tag="t"][schema@42785 a="integer:n"]' if i == 0 else "-"
+            data = encode_frame(f"<13>1 - h app - - {tag} {'x' * 100}".encode())
+            rows = [data[:20], *[data[20:] + data[:20]] * 998, data[20:]]
+            yield pa.RecordBatch.from_pydict({"conn_id": ["a" if i < 39 else None] * 1000, "seq": [i * 1000 + k for k in range(1000)], "data": rows})
+
+    found, begun = [], None
+    for b in ingest._in_order(True, 1000)(batches()):
+        begun = len(read) if begun is None else begun
+        assert b.num_rows <= 4096
+        found += b.to_pylist()
+    assert begun < 10 and len(found) == 40 * 999
+    assert {(r["conn_id"], tuple(r["tags"]), tuple(r["schema"])) for r in found} == {("a", ("t",), (("a", "integer:n"),)), (None, (), ())}
+    assert [r["seq"] for r in found] == sorted(r["seq"] for r in found)
+
+
 def test_cli(spark, events, tmp_path, capsys):
     from eventloom.cli import main
 
