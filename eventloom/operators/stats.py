@@ -18,6 +18,8 @@ CMS_EPS, CMS_CONFIDENCE, CMS_SEED = 0.001, 0.99, 123456789
 HLL_BITS = 16
 BLOOM_HASHES, BLOOM_SEED = 16, 987654321
 MINHASH_HASHES, MINHASH_BANDS = 16, 64
+#: Slots in a row of aggregates: as many as Spark still compiles as a whole (100 columns).
+_BLOCK = 64
 
 DEPTH = math.ceil(math.log(1 / (1 - CMS_CONFIDENCE)))
 WIDTH = math.ceil(math.e / CMS_EPS)
@@ -100,10 +102,14 @@ def maybe_member(words: DataFrame, terms: DataFrame, bits: int) -> DataFrame:
 
 
 def minhash(terms: DataFrame, by: list[str] | None = None, slots: int = MINHASH_HASHES * MINHASH_BANDS) -> DataFrame:
-    """``slot, least``: a signature; the share of equal slots estimates the Jaccard similarity."""
+    """``slot, least``: a signature; the share of equal slots estimates the Jaccard similarity. The slots of a
+    block are aggregates of one row, so that a term is a row for each block."""
     distinct = terms.where("term is not null").select(*(by or []), "term").distinct()
-    rows = distinct.select(*(by or []), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda i: F.xxhash64(i, F.col("term")))).alias("slot", "hash"))
-    return rows.groupBy(*(by or []), "slot").agg(F.min("hash").alias("least"))
+    blocks = distinct.select(*(by or []), "term", F.explode(F.sequence(F.lit(0), F.lit((slots - 1) // _BLOCK))).alias("__block"))
+    first = F.col("__block") * _BLOCK
+    least = blocks.groupBy(*(by or []), "__block").agg(*[F.min(F.xxhash64(first + i, "term")).alias(f"__{i}") for i in range(1, _BLOCK + 1)])
+    rows = least.select(*(by or []), first.alias("__first"), F.posexplode(F.array(*[f"__{i}" for i in range(1, _BLOCK + 1)])).alias("__at", "least"))
+    return rows.select(*(by or []), (F.col("__first") + F.col("__at")).alias("slot"), "least").where(F.col("slot") < slots)
 
 
 def merge_minhash(signatures: DataFrame, by: list[str] | None = None) -> DataFrame:
